@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprint, langid, packing, simhash, url_filter
+from . import exact_dedup, fingerprint, langid, packing, pii, simhash, url_filter
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_docs(spark, sf_dir))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(_docs(spark, sf_dir))
 
@@ -38,6 +42,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_language_id, op6_simhash, op7_exact_dedup, op8_packing, op9_fingerprints, op10_url_filter)
+    f.__name__: f for f in (op1_pii, op4_language_id, op6_simhash, op7_exact_dedup, op8_packing, op9_fingerprints, op10_url_filter)
 }
 ORACLES: dict[str, str] = {"op7_exact_dedup": exact_dedup.SQL, "op10_url_filter": url_filter.SQL}
