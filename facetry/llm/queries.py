@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprint, langid, packing, pii, simhash, url_filter
+from . import exact_dedup, fingerprint, langid, license_scan, packing, pieces, pii, recompression, simhash, url_filter
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +17,22 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_docs(spark, sf_dir))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.substring_dedup(_docs(spark, sf_dir)).drop("kept")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_docs(spark, sf_dir))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(_docs(spark, sf_dir))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded_and_decoded(_docs(spark, sf_dir))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_docs(spark, sf_dir))
 
@@ -42,6 +54,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op4_language_id, op6_simhash, op7_exact_dedup, op8_packing, op9_fingerprints, op10_url_filter)
+    f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_license_scan, op4_language_id, op5_sentencepiece, op6_simhash, op7_exact_dedup, op8_packing, op9_fingerprints, op10_url_filter)
 }
 ORACLES: dict[str, str] = {"op7_exact_dedup": exact_dedup.SQL, "op10_url_filter": url_filter.SQL}
