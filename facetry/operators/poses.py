@@ -1,0 +1,121 @@
+"""Tool poses: frames, candidate centres, the spherical envelope, roll-ups over feasible poses."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.vec import add, cross, dot, named, scale, sub, unit, vec
+from .spatial import within
+
+
+def frames(curve: DataFrame, normals: DataFrame) -> DataFrame:
+    """curve (with tangents) and the frame t, q, a of each point: the normal is the axis a, the tangent is laid into
+    its plane, q = a x t."""
+    rows = curve.join(normals, "point_index")
+    flat = sub(vec("t"), scale(vec("n"), dot(vec("t"), vec("n"))))
+    rows = rows.withColumns({f"f{a}": c for a, c in zip("xyz", unit(flat), strict=True)})
+    keep = [c for c in curve.columns if c not in ("tx", "ty", "tz")]
+    return rows.select(*keep, *named(vec("f"), "t"), *named(cross(vec("n"), vec("f")), "q"), *named(vec("n"), "a"))
+
+
+def candidates(framed: DataFrame, radius: float, angles: int, depth: float = 0.0, layers: int = 1) -> DataFrame:
+    """Centres x + rho (cos t + sin q) for evenly spaced angles and layers of rho from radius - depth to radius."""
+    if radius <= 0 or not 0 <= depth < radius or angles < 4 or layers < 1:
+        raise ValueError("radius > 0, 0 <= depth < radius, angles >= 4 and layers >= 1 are needed")
+    grid = F.sequence(F.lit(0), F.lit(layers - 1))
+    rows = framed.select("*", F.explode(grid).alias("rho_index")).select("*", F.explode(F.sequence(F.lit(0), F.lit(angles - 1))).alias("angle_index"))
+    rho = F.lit(radius - depth) + F.col("rho_index") * (depth / max(1, layers - 1)) if layers > 1 else F.lit(radius)
+    rows = rows.withColumn("angle", F.col("angle_index") * (2 * math.pi / angles)).withColumn("rho", rho)
+    e = add(scale(vec("t"), F.cos("angle")), scale(vec("q"), F.sin("angle")))
+    index = (F.col("rho_index") * angles + F.col("angle_index")).cast("long").alias("candidate_index")
+    keep = [c for c in framed.columns if c not in ("x", "y", "z")]
+    return rows.select(*keep, index, "angle_index", "angle", "rho", *named(add(vec(), scale(e, F.col("rho")))), *named(e, "e"))
+
+
+def offset(poses: DataFrame, width: float, side: int = 1) -> DataFrame:
+    """Centres moved by half the width along the axis, to either side."""
+    moved = add(vec(), scale(vec("a"), side * width / 2))
+    return poses.select(*[c for c in poses.columns if c not in ("x", "y", "z")], *named(moved))
+
+
+def pose_checks(poses: DataFrame, tolerance: float = 1e-10) -> DataFrame:
+    """One row: do all poses have axes at right angles to tangent and direction."""
+    worst = F.greatest(F.abs(dot(vec("a"), vec("t"))), F.abs(dot(vec("a"), vec("e"))))
+    return poses.agg(F.count("*").alias("poses"), F.bool_and(worst <= tolerance).alias("orthogonal"))
+
+
+def envelope(poses: DataFrame, samples: DataFrame, radius: float, clearance: float = 0.0) -> DataFrame:
+    """poses with feasible and reason: no surface sample may lie within rho + clearance of the centre. The join looks
+    only into neighbouring grid cells and stops at the sphere."""
+    keys = ["point_index", "candidate_index", "rho_index"] if "rho_index" in poses.columns else ["point_index", "candidate_index"]
+    lean = poses.select(*keys, "rho", "x", "y", "z")
+    hits = within(lean, samples.select(F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("z").alias("qz")), radius + clearance)
+    struck = hits.where(F.col("distance") - F.col("rho") < clearance).select(*keys).distinct().withColumn("struck", F.lit(True))
+    out = poses.join(struck, keys, "left").withColumn("feasible", F.col("struck").isNull()).drop("struck")
+    return out.withColumn("reason", F.when(F.col("feasible"), "safe").otherwise("wheel_outer_collision"))
+
+
+def point_rollup(judged: DataFrame) -> DataFrame:
+    """Candidates, feasible candidates and distinct feasible angles of every point."""
+    return judged.groupBy("point_index", "branch_id").agg(
+        F.count("*").alias("candidates"), F.count_if("feasible").alias("feasible"), F.count_distinct(F.when(F.col("feasible"), F.col("angle_index"))).alias("angles")
+    )
+
+
+def reason_counts(judged: DataFrame) -> DataFrame:
+    return judged.groupBy("branch_id", "reason").agg(F.count("*").alias("n"))
+
+
+def radius_scan(framed: DataFrame, samples: DataFrame, radii: list[float], angles: int) -> DataFrame:
+    """For each radius: the share of points with a feasible pose, the share of feasible poses. One plan for all radii."""
+    rings = None
+    for r in radii:
+        one = candidates(framed, r, angles).withColumn("radius", F.lit(r))
+        judged = envelope(one, samples, r).select("radius", "point_index", "feasible")
+        rings = judged if rings is None else rings.unionByName(judged)
+    points = rings.groupBy("radius", "point_index").agg(F.count("*").alias("n"), F.count_if("feasible").alias("ok"))
+    return points.groupBy("radius").agg(F.avg((F.col("ok") > 0).cast("double")).alias("coverage"), (F.sum("ok") / F.sum("n")).alias("ratio"))
+
+
+def radius_choice(scan: DataFrame, least_coverage: float, least_ratio: float) -> DataFrame:
+    """The largest radius that reaches both thresholds, else the best by coverage, ratio and smallness."""
+    good = (F.col("coverage") >= least_coverage) & (F.col("ratio") >= least_ratio)
+    best = F.max_by("radius", F.struct(F.col("coverage"), F.col("ratio"), -F.col("radius")))
+    return scan.agg(F.coalesce(F.max(F.when(good, F.col("radius"))), best).alias("radius"))
+
+
+def angle_intervals(judged: DataFrame, angles: int) -> DataFrame:
+    """Feasible stretches of each point's ring in degrees, [start, end), cut at 0."""
+    flags = judged.where("feasible").select("point_index", "angle_index").distinct()
+    island = F.col("angle_index") - F.row_number().over(Window.partitionBy("point_index").orderBy("angle_index"))
+    step = 360.0 / angles
+    runs = flags.withColumn("island", island).groupBy("point_index", "island").agg(F.min("angle_index").alias("first"), F.max("angle_index").alias("last"))
+    return runs.select("point_index", F.round(F.col("first") * step, 3).alias("start"), F.round((F.col("last") + 1) * step, 3).alias("end"))
+
+
+def ring_runs(judged: DataFrame, angles: int) -> DataFrame:
+    """Stretches of one state around the ring, joined across 0; the end may pass 360."""
+    w = Window.partitionBy("point_index").orderBy("angle_index")
+    rows = judged.select("point_index", "angle_index", "feasible")
+    turn = rows.withColumn("before", F.coalesce(F.lag("feasible").over(w), F.last("feasible").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    start = F.min(F.when(F.col("feasible") != F.col("before"), F.col("angle_index"))).over(Window.partitionBy("point_index"))
+    turned = turn.withColumn("first", F.coalesce(start, F.lit(0))).withColumn("place", F.pmod(F.col("angle_index") - F.col("first"), F.lit(angles)))
+    along = Window.partitionBy("point_index").orderBy("place")
+    changed = F.when((F.col("place") > 0) & (F.col("feasible") != F.lag("feasible").over(along)), 1).otherwise(0)
+    runs = turned.withColumn("changed", changed).withColumn("run", F.sum("changed").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("point_index", "run", "feasible").agg((F.min("place") + F.first("first")).cast("long").alias("start"), (F.max("place") + F.first("first") + 1).cast("long").alias("end"))
+
+
+def representative(judged: DataFrame) -> DataFrame:
+    """Each branch's point whose feasible share is nearest to one half, the first of equals."""
+    share = judged.groupBy("branch_id", "point_index").agg(F.avg(F.col("feasible").cast("double")).alias("share"))
+    return share.groupBy("branch_id").agg(F.min_by("point_index", F.struct(F.abs(F.col("share") - 0.5), F.col("point_index"))).alias("point_index"))
+
+
+def coordinate_median(cloud: DataFrame, keys: list[str]) -> DataFrame:
+    """Component-wise median of a cloud."""
+    return cloud.groupBy(*keys).agg(*[F.median(a).alias(a) for a in "xyz"])
+
