@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +56,19 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", limit: int
 
 def text_or_empty(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """rows with column text as compressed bytes, which keeps the shuffles of whole texts small; `unpacked` undoes it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tight = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            small = pa.array([tight.compress(t.as_buffer()) for t in b.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([small if c == "text" else b.column(c) for c in b.schema.names], b.schema.names)
+
+    return rows.mapInArrow(run, ", ".join(f"{c} {'binary' if c == 'text' else t}" for c, t in rows.dtypes))
+
+
+def unpacked(text: bytes) -> str:
+    return zstandard.decompress(text).decode()

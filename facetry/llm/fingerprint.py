@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from xxhash import xxh3_64_intdigest
 
-from .common import staged, text_or_empty
+from .common import packed, staged, text_or_empty, unpacked
 
 WORDS, SCALE = 5, 16
 
@@ -92,13 +92,14 @@ def edits_and_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str
     One range-partitioned sort puts neighbours beside each other; each task streams its rows and holds two of
     them. The first and last row of each task are set aside, at most two per partition, and joined by rank."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = packed(rows.withColumn("tie", F.xxhash64("text")))
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "tie").drop("tie")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, last = TaskContext.get().partitionId(), None
         for b in batches:
             out = []
-            for key, text in zip(b["doc_id"].astype(object).where(b["doc_id"].notna(), None), b["text"], strict=True):
+            for key, text in zip(b["doc_id"].astype(object).where(b["doc_id"].notna(), None), map(unpacked, b["text"]), strict=True):
                 s = sketch(text)
                 if last is None:
                     out.append((None,) * 7 + (0, part, key, text))
