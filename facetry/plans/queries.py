@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vec import angle, distance, rounded, unit, vec
-from ..operators import curves, meshes, paths, poses, spatial
+from ..functions.vec import angle, distance, dot, named, rounded, unit, vec
+from ..operators import curves, meshes, orientation, paths, poses, spatial
 from ..sources import text
 from . import views
 from .views import with_views
@@ -416,3 +416,45 @@ def paired_distance(spark, d):
 @_query(f"SELECT point_index, {_xyz('round(n%, 6) + 0.0 AS n%')} FROM g_normals")
 def unit_normals(spark, d):
     return _round(views.normals(spark, d).select("point_index", *[c.alias(f"n{a}") for c, a in zip(unit(vec("n")), "xyz", strict=True)]))
+
+
+_SIDES = f"""{_TANGENTS}
+, nb AS (SELECT p.point_index, c.label, c.x, c.y, c.z, row_number() OVER (PARTITION BY p.point_index, c.label ORDER BY sqrt((p.x - c.x) ** 2 + (p.y - c.y) ** 2 + (p.z - c.z) ** 2), c.point_id) AS r FROM tg p, g_cloud c),
+md AS (SELECT point_index, {_xyz("median(%) FILTER (label = 1) - median(%) FILTER (label = 0) AS w%")} FROM nb WHERE r <= 32 GROUP BY point_index),
+pr AS (SELECT point_index, {_xyz("w% - (wx * tx + wy * ty + wz * tz) * t% AS r%")} FROM md JOIN tg USING (point_index)),
+dr AS (SELECT point_index, size, {_xyz("CASE WHEN size > 1e-12 THEN r% / size ELSE 0 END AS d%")} FROM (SELECT *, sqrt(rx * rx + ry * ry + rz * rz) AS size FROM pr))"""
+
+
+def _sides(spark: SparkSession, d: str) -> DataFrame:
+    cloud = views.cloud(spark, d).select("label", "point_id", *[F.col(a).alias(f"q{a}") for a in "xyz"])
+    return orientation.cloud_directions(_tangents(spark, d), cloud.where("label = 1"), cloud.where("label = 0"))
+
+
+@_query(f"{_SIDES} SELECT point_index, {_xyz('round(d%, 6) + 0.0 AS d%')}, round(size, 6) AS confidence FROM dr")
+def side_directions(spark, d):
+    return _round(_sides(spark, d))
+
+
+@_query(f"""{_SIDES}
+, sc AS (SELECT branch_id, nx * dx + ny * dy + nz * dz AS s FROM dr JOIN g_normals USING (point_index) JOIN g_points USING (point_index)),
+vt AS (SELECT branch_id, coalesce(median(s) FILTER (abs(s) >= 0.08e0), median(s)) AS score FROM sc GROUP BY branch_id)
+SELECT branch_id, round(score, 6) AS score, CASE WHEN score >= 0 THEN 1 ELSE -1 END AS sign FROM vt""")
+def branch_votes(spark, d):
+    both = _sides(spark, d).join(views.normals(spark, d), "point_index").select("point_index", dot(vec("n"), vec("d")).alias("score"))
+    return _round(orientation.branch_votes(both.join(views.points(spark, d).select("point_index", "branch_id"), "point_index")))
+
+
+@_query(f"""
+, mb AS (SELECT branch_id, nx, ny, nz FROM g_points JOIN g_normals USING (point_index)),
+mn AS (SELECT branch_id, {_xyz("sum(n%) AS s%")} FROM mb GROUP BY branch_id),
+mu AS (SELECT branch_id, {_xyz("s% / sqrt(sx * sx + sy * sy + sz * sz) AS m%")} FROM mn),
+an AS (SELECT mb.*, degrees(acos(greatest(-1, least(1, nx * mx + ny * my + nz * mz)))) AS dev FROM mb JOIN mu USING (branch_id)),
+ct AS (SELECT branch_id, greatest(median(dev) * 2.5e0, 5e0) AS lim, max(dev) AS widest FROM an GROUP BY branch_id),
+wt AS (SELECT an.*, widest, CASE WHEN dev < lim THEN (1 - (dev / lim) ** 2) ** 2 ELSE 0e0 END AS w FROM an JOIN ct USING (branch_id)),
+sw AS (SELECT branch_id, max(widest) AS widest, {_xyz("sum(w * n%) AS s%")} FROM wt GROUP BY branch_id)
+SELECT branch_id, {_xyz("round(s% / sqrt(sx * sx + sy * sy + sz * sz), 5) + 0.0 AS n%")}, round(widest, 4) AS widest FROM sw""")
+def robust_normals(spark, d):
+    members = views.normals(spark, d).join(views.points(spark, d).select("point_index", "branch_id"), "point_index").select("branch_id", "nx", "ny", "nz")
+    sums = members.groupBy("branch_id").agg(*[F.sum(f"n{a}").alias(f"s{a}") for a in "xyz"])
+    out = orientation.robust_directions(members, sums.select("branch_id", *named(unit(vec("s")), "m")), "branch_id")
+    return out.select("branch_id", *[rounded(F.col(f"n{a}"), 5).alias(f"n{a}") for a in "xyz"], F.round("widest", 4).alias("widest"))
