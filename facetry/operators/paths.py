@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..functions.vec import dot, vec
+from .curves import _written as shared
+
+#: Layers of one block, and blocks of one block of the next round.
+BLOCK = 64
+_UNIT = "branch_id int, lateral_side int, block long, layers long, head binary, tail binary, costs binary"
 
 
 def _branch() -> WindowSpec:
@@ -37,31 +46,124 @@ def sides(poses: DataFrame, tolerance: float = 1e-9) -> DataFrame:
 def layered(nodes: DataFrame) -> DataFrame:
     """The shortest way that takes one node of every layer, for each branch and side: nodes has branch_id,
     lateral_side, seq, candidate_index, x, y, z. Returns cost, layers and the chosen candidates; of equal costs the
-    lowest candidate wins. A branch is one group, as its layers are in order; the fold holds one layer's costs."""
-    node = F.struct("candidate_index", "x", "y", "z")
-    layers = nodes.groupBy("branch_id", "lateral_side", "seq").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
-    ways = layers.groupBy("branch_id", "lateral_side").agg(F.array_sort(F.collect_list(F.struct("seq", "nodes"))).alias("layers"))
-
-    def start(n):
-        return F.struct(F.lit(0.0).alias("cost"), n["candidate_index"].alias("candidate_index"), n["x"].alias("x"), n["y"].alias("y"), n["z"].alias("z"), F.array(n["candidate_index"]).alias("way"))
-
-    def step(reached, layer):
-        def best(n):
-            ends = F.transform(
-                reached,
-                lambda r: F.struct(
-                    (r["cost"] + F.sqrt((r["x"] - n["x"]) * (r["x"] - n["x"]) + (r["y"] - n["y"]) * (r["y"] - n["y"]) + (r["z"] - n["z"]) * (r["z"] - n["z"]))).alias("cost"),
-                    r["candidate_index"].alias("from"), r["way"].alias("way"),
-                ),
-            )
-            return F.array_min(ends)
-
-        reach = F.transform(layer["nodes"], lambda n: F.struct(best(n).alias("b"), n.alias("n")))
-        return F.transform(reach, lambda x: F.struct(x["b"]["cost"].alias("cost"), x["n"]["candidate_index"].alias("candidate_index"), x["n"]["x"].alias("x"), x["n"]["y"].alias("y"), x["n"]["z"].alias("z"), F.concat(x["b"]["way"], F.array(x["n"]["candidate_index"])).alias("way")))
-
-    folded = F.aggregate(F.slice("layers", 2, F.size("layers")), F.transform(F.get("layers", F.lit(0))["nodes"], start), step)
-    best = ways.select("branch_id", "lateral_side", F.size("layers").cast("long").alias("layers"), F.array_min(F.transform(folded, lambda r: F.struct(r["cost"], r["candidate_index"], r["way"]))).alias("b"))
-    return best.select("branch_id", "lateral_side", "layers", F.col("b.cost").alias("cost"), F.col("b.way").alias("way"))
+    lowest candidate wins. Only the ids of the way are collected; `chosen` gives it as rows."""
+    way = F.transform(F.array_sort(F.collect_list(F.struct("seq", "candidate_index"))), lambda n: n["candidate_index"])
+    return chosen(nodes).groupBy("branch_id", "lateral_side").agg(F.first("layers").alias("layers"), F.first("cost").alias("cost"), way.alias("way"))
+
+
+class _Unit:
+    """A stretch of layers: the nodes of its first and of its last layer (rows of candidate_index, x, y, z) and the
+    least cost of a way between each of the ones and each of the others."""
+
+    def __init__(self, head: np.ndarray, tail: np.ndarray, costs: np.ndarray):
+        self.head, self.tail, self.costs = head, tail, costs
+
+
+def _steps(a: _Unit, b: _Unit) -> np.ndarray:
+    d = a.tail[:, None, 1:] - b.head[None, :, 1:]
+    return np.sqrt((d * d).sum(2))
+
+
+def _through(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Min-plus product."""
+    return (a[:, :, None] + b[None]).min(1)
+
+
+def _joined(units: list[_Unit]) -> _Unit:
+    costs = units[0].costs
+    for a, b in pairwise(units):
+        costs = _through(_through(costs, _steps(a, b)), b.costs)
+    return _Unit(units[0].head, units[-1].tail, costs)
+
+
+def _traced(units: list[_Unit], first: int, last: int) -> list[tuple[int, int]]:
+    """The best way from a node of the first layer to one of the last: where it enters and leaves each unit."""
+    reached, back = units[0].costs[first], []
+    for a, b in pairwise(units):
+        ends = reached[:, None] + _steps(a, b)
+        inner = ends.min(0)[:, None] + b.costs
+        back.append((ends.argmin(0), inner.argmin(0)))
+        reached = inner.min(0)
+    out, leave = [], last
+    for before, enters in reversed(back):
+        enter = int(enters[leave])
+        out.append((enter, leave))
+        leave = int(before[enter])
+    return [(first, leave), *reversed(out)]
+
+
+def _layers(rows: pd.DataFrame) -> tuple[list[int], list[_Unit]]:
+    rows = rows.sort_values(["seq", "candidate_index"])
+    seqs, units = [], []
+    for seq, layer in rows.groupby("seq", sort=True):
+        own = layer[["candidate_index", "x", "y", "z"]].to_numpy(float)
+        seqs.append(int(seq))
+        units.append(_Unit(own, own, np.where(np.eye(len(own), dtype=bool), 0.0, np.inf)))
+    return seqs, units
+
+
+def _read(rows: pd.DataFrame) -> list[_Unit]:
+    four = [[np.frombuffer(x).reshape(-1, 4) for x in rows[c]] for c in ("head", "tail")]
+    return [_Unit(h, t, np.frombuffer(c).reshape(len(h), len(t))) for h, t, c in zip(*four, rows["costs"], strict=True)]
+
+
+def _row(key: tuple, layers: int, unit: _Unit) -> pd.DataFrame:
+    row = (*map(int, key), layers, unit.head.tobytes(), unit.tail.tobytes(), np.ascontiguousarray(unit.costs).tobytes())
+    return pd.DataFrame([row], columns=[c.split()[0] for c in _UNIT.split(", ")])
+
+
+def chosen(nodes: DataFrame) -> DataFrame:
+    """The shortest way of `layered`, one row for each layer: branch_id, lateral_side, seq, candidate_index, cost (of the
+    whole way) and layers. Layers are those that have a node. Blocks of layers become min-plus matrices, which are
+    joined in rounds until a branch and side is one; the way is then traced back through the same rounds, so no
+    task holds more than `BLOCK` layers or matrices."""
+    keys = ["branch_id", "lateral_side"]
+    types = [F.col(k).cast("int").alias(k) for k in keys]
+    lean = shared(nodes.select(*types, *[F.col(c).cast("long").alias(c) for c in ("seq", "candidate_index")], "x", "y", "z"))
+    low = lean.agg(F.coalesce(F.min("seq"), F.lit(0))).first()[0]
+    lean = lean.withColumn("block", F.floor((F.col("seq") - low) / BLOCK).cast("long"))
+
+    def block(key, rows):
+        seqs, units = _layers(rows)
+        return _row(key, len(seqs), _joined(units))
+
+    def join(key, rows):
+        rows = rows.sort_values("block")
+        return _row(key, int(rows["layers"].sum()), _joined(_read(rows)))
+
+    rounds = [shared(lean.groupBy(*keys, "block").applyInPandas(block, _UNIT))]
+    while rounds[-1].groupBy(*keys).count().where("count > 1").limit(1).count():
+        up = rounds[-1].withColumn("up", F.floor(F.col("block") / BLOCK).cast("long"))
+        rounds.append(shared(up.groupBy(*keys, "up").applyInPandas(join, _UNIT)))
+
+    def top(batches):
+        for b in batches:
+            best = [np.unravel_index(u.costs.argmin(), u.costs.shape) for u in _read(b)]
+            out = b[[*keys, "block", "layers"]].assign(enter=[int(i) for i, _ in best], leave=[int(j) for _, j in best])
+            yield out.assign(cost=[float(u.costs.min()) for u in _read(b)])
+
+    whole = "branch_id int, lateral_side int, block long, layers long, enter long, leave long, cost double"
+    ways = rounds[-1].mapInPandas(top, whole)
+
+    def trace(key, rows):
+        rows = rows.sort_values("block")
+        got = _traced(_read(rows), int(rows["enter"].iloc[0]), int(rows["leave"].iloc[0]))
+        return rows[[*keys, "block", "total", "cost"]].rename(columns={"total": "layers"}).assign(enter=[a for a, _ in got], leave=[b for _, b in got])[[*keys, "block", "layers", "enter", "leave", "cost"]]
+
+    above = lambda: ways.select(*keys, F.col("block").alias("up"), F.col("layers").alias("total"), "enter", "leave", "cost")
+    for units in reversed(rounds[:-1]):
+        both = units.withColumn("up", F.floor(F.col("block") / BLOCK).cast("long")).join(above(), [*keys, "up"])
+        ways = shared(both.groupBy(*keys, "up").applyInPandas(trace, whole))
+
+    def pick(key, rows):
+        seqs, units = _layers(rows)
+        got = _traced(units, int(rows["enter"].iloc[0]), int(rows["leave"].iloc[0]))
+        ids = [int(u.head[a, 0]) for u, (a, _) in zip(units, got, strict=True)]
+        one = rows.iloc[0]
+        return pd.DataFrame({"branch_id": int(key[0]), "lateral_side": int(key[1]), "seq": seqs, "candidate_index": ids, "cost": float(one["cost"]), "layers": int(one["total"])})
+
+    both = lean.withColumn("up", F.col("block")).join(above(), [*keys, "up"])
+    return both.groupBy(*keys, "block").applyInPandas(pick, "branch_id int, lateral_side int, seq long, candidate_index long, cost double, layers long")
 
 
 def metrics(nodes: DataFrame, keys: list[str]) -> DataFrame:

@@ -346,6 +346,39 @@ def path_metrics(spark, d):
     return _round(paths.metrics(nodes, ["branch_id"]))
 
 
+_FEASIBLE = f"""{_JUDGED}{_SIDED.removeprefix(_CANDIDATES)}
+, fz AS (SELECT sd.*, jd.feasible FROM sd JOIN jd USING (point_index, angle_index)),
+fn AS (SELECT branch_id, lateral_side, seq, angle_index, angle, cx, cy, cz, dense_rank() OVER (PARTITION BY branch_id, lateral_side ORDER BY seq) AS layer FROM fz WHERE feasible AND lateral_side <> 0),
+fp AS (SELECT *, CAST(0 AS DOUBLE) AS cost, CAST([angle_index] AS BIGINT[]) AS way FROM fn WHERE layer = 1
+  UNION ALL (SELECT n.branch_id, n.lateral_side, n.seq, n.angle_index, n.angle, n.cx, n.cy, n.cz, n.layer, min(p.cost + sqrt((n.cx - p.cx) * (n.cx - p.cx) + (n.cy - p.cy) * (n.cy - p.cy) + (n.cz - p.cz) * (n.cz - p.cz))),
+    list_append(arg_min(p.way, p.cost + sqrt((n.cx - p.cx) * (n.cx - p.cx) + (n.cy - p.cy) * (n.cy - p.cy) + (n.cz - p.cz) * (n.cz - p.cz))), max(n.angle_index))
+  FROM fp p JOIN fn n ON n.branch_id = p.branch_id AND n.lateral_side = p.lateral_side AND n.layer = p.layer + 1 GROUP BY ALL)),
+ft AS (SELECT branch_id, lateral_side, max(layer) AS layers FROM fn GROUP BY ALL),
+fb AS (SELECT fp.branch_id, fp.lateral_side, layers, min(cost) AS cost, arg_min(way, cost) AS way FROM fp JOIN ft ON fp.branch_id = ft.branch_id AND fp.lateral_side = ft.lateral_side AND fp.layer = layers GROUP BY ALL)"""
+
+
+def _feasible_sided(spark: SparkSession, d: str) -> DataFrame:
+    judged = poses.envelope(_sided(spark, d), meshes.surface_samples(views.triangles(spark, d)), RADIUS)
+    return judged.where("feasible AND lateral_side <> 0").select("branch_id", "lateral_side", "seq", "candidate_index", "angle", "x", "y", "z")
+
+
+@_query(f"{_FEASIBLE} SELECT branch_id, lateral_side, layers, round(cost, 6) AS cost FROM fb")
+def feasible_path(spark, d):
+    """The shortest way through all feasible poses of a side."""
+    return _round(paths.chosen(_feasible_sided(spark, d)).select("branch_id", "lateral_side", "layers", "cost").distinct())
+
+
+@_query(f"""{_FEASIBLE}
+, nd AS (SELECT fn.* FROM fn JOIN fb ON fn.branch_id = fb.branch_id AND fn.lateral_side = fb.lateral_side AND fn.angle_index = fb.way[fn.layer]),
+sg AS (SELECT *, sqrt((cx - lag(cx) OVER w) ** 2 + (cy - lag(cy) OVER w) ** 2 + (cz - lag(cz) OVER w) ** 2) AS seg, abs(degrees(angle - lag(angle) OVER w)) AS t FROM nd WINDOW w AS (PARTITION BY branch_id, lateral_side ORDER BY seq))
+SELECT branch_id, lateral_side, count(*) AS nodes, round(coalesce(sum(seg), 0), 6) AS length, round(max(seg), 6) AS max_segment, round(max(least(t, 360 - t)), 6) AS max_turn, round(avg(least(t, 360 - t)), 6) AS mean_turn FROM sg GROUP BY ALL""")
+def feasible_path_metrics(spark, d):
+    """Metrics of the way that `feasible_path` chooses."""
+    nodes = _feasible_sided(spark, d)
+    way = paths.chosen(nodes).select("branch_id", "lateral_side", "seq", "candidate_index")
+    return _round(paths.metrics(nodes.join(way, way.columns), ["branch_id", "lateral_side"]))
+
+
 @_query(f"""{_ARC}
 , ms AS (SELECT branch_id, seq, arc_length AS s, point_index % 7 = 3 AS missing, lead(arc_length) OVER w AS after, lag(arc_length) OVER w AS before FROM arc WINDOW w AS (PARTITION BY branch_id ORDER BY seq)),
 en AS (SELECT branch_id, max(s) AS total FROM ms GROUP BY ALL)
