@@ -288,6 +288,29 @@ def radius_choice(spark, d):
     return poses.radius_choice(poses.radius_scan(_framed(spark, d), meshes.surface_samples(views.triangles(spark, d)), list(_RADII), 8), 0.9, 0.5)
 
 
+SCAN_ANGLES = 72
+_FULL_SCAN = f"""{_FRAMES}{_SAMPLES}
+, rr AS (SELECT unnest([{", ".join(f"{r}e0" for r in _RADII)}]) AS r),
+cx AS (SELECT point_index, k, r, {_xyz("% + r * (cos(angle) * t% + sin(angle) * q%) AS c%")} FROM (SELECT *, k * (2 * pi() / {SCAN_ANGLES}) AS angle FROM fr, (SELECT unnest(range({SCAN_ANGLES})) AS k)), rr),
+hs AS (SELECT DISTINCT point_index, k, r FROM cx, sm WHERE {_xyz("abs(c% - %) < r", " AND ")} AND sqrt({_xyz("(c% - %) ** 2", " + ")}) < r),
+pt AS (SELECT r, point_index, count(*) AS n, count(*) FILTER (hs.k IS NULL) AS k FROM cx LEFT JOIN hs USING (point_index, k, r) GROUP BY r, point_index),
+sc AS (SELECT r AS radius, avg(CASE WHEN k > 0 THEN 1e0 ELSE 0e0 END) AS coverage, sum(k) / sum(n) AS ratio FROM pt GROUP BY r)"""
+
+
+def _full_scan(spark: SparkSession, d: str) -> DataFrame:
+    return poses.radius_scan(_framed(spark, d), meshes.surface_samples(views.triangles(spark, d)), list(_RADII), SCAN_ANGLES)
+
+
+@_query(f"{_FULL_SCAN} SELECT round(radius, 6) AS radius, round(coverage, 6) AS coverage, round(ratio, 6) AS ratio FROM sc")
+def radius_scan_full(spark, d):
+    return _round(_full_scan(spark, d))
+
+
+@_query(f"{_FULL_SCAN} SELECT coalesce(max(radius) FILTER (coverage >= 0.9 AND ratio >= 0.5), (SELECT radius FROM sc ORDER BY coverage DESC, ratio DESC, radius LIMIT 1)) AS radius FROM sc")
+def radius_choice_full(spark, d):
+    return poses.radius_choice(_full_scan(spark, d), 0.9, 0.5)
+
+
 @_query(f"""{_JUDGED}, isl AS (SELECT point_index, angle_index, angle_index - row_number() OVER (PARTITION BY point_index ORDER BY angle_index) AS g FROM jd WHERE feasible)
 SELECT point_index, round(min(angle_index) * {360 / ANGLES}e0, 3) AS start, round((max(angle_index) + 1) * {360 / ANGLES}e0, 3) AS "end" FROM isl GROUP BY point_index, g""")
 def angle_intervals(spark, d):
