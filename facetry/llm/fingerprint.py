@@ -1,9 +1,10 @@
 """Document fingerprints: a threshold-scaled sketch (a fixed fraction of all shingle hashes).
 
 The shingles are five consecutive words; a text of one to four words is one shingle. Every distinct hash below
-2**64 / `scale` is retained, so sketches of very unequal documents can be merged and compared, and containment
-and likeness are estimated by counting. Where no hash lies below the threshold the smallest one is retained, so a
-text with words never has an empty sketch.
+2**64 / `scale` is retained and no other, so the union of sketches is the sketch of the union, sketches of very unequal
+documents can be merged and compared, and containment and likeness are found by counting. The default scale of 1
+retains all: any smaller fraction leaves short texts next to no hashes. With a larger scale they are estimates, and a
+short text's sketch may be empty.
 
 Defined cases: a null text counts as empty; two empty sketches have likeness 1, an empty and a non-empty one 0;
 equal texts have equal fingerprints; repeated ids are ordered by their texts; an empty table gives an empty result.
@@ -12,10 +13,12 @@ equal texts have equal fingerprints; repeated ids are ordered by their texts; an
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +27,9 @@ from xxhash import xxh3_64_intdigest
 
 from .common import packed, staged, text_or_empty, unpacked
 
-WORDS, SCALE = 5, 16
+WORDS, SCALE = 5, 1
+#: Characters of one staged run of neighbours.
+CHUNK = 500_000
 
 
 def sketch(text: str | None, words: int = WORDS, scale: int = SCALE) -> np.ndarray:
@@ -38,8 +43,7 @@ def sketch(text: str | None, words: int = WORDS, scale: int = SCALE) -> np.ndarr
     for i in range(k):  # mixes the words' hashes in their order
         out = (out ^ h[i : len(parts) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    low = out[out < np.uint64((1 << 64) // scale)]
-    return np.unique(low) if len(low) else out.min(keepdims=True)
+    return np.unique(out[out <= np.uint64((1 << 64) // scale - 1)])
 
 
 def shown(s: np.ndarray) -> str:
@@ -47,14 +51,14 @@ def shown(s: np.ndarray) -> str:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated Jaccard similarity of the two shingle sets."""
+    """Jaccard similarity of the two shingle sets."""
     both = len(np.intersect1d(a, b, assume_unique=True))
     either = len(a) + len(b) - both
     return both / either if either else 1.0
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of a's shingles that b holds too."""
+    """Share of a's shingles that b holds too."""
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
 
 
@@ -89,32 +93,49 @@ def _judged(key, text: str, own: np.ndarray, after: str, other: np.ndarray) -> t
 def edits_and_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document against its edited text and the next document by ascending id (the first after the last).
 
-    One range-partitioned sort puts neighbours beside each other; each task streams its rows and holds two of
-    them. The first and last row of each task are set aside, at most two per partition, and joined by rank."""
+    One range-partitioned sort puts neighbours beside each other. Runs of them are staged as compressed texts, each
+    run beginning with the last row of the one before, and judged as they are read, so no sketch is staged. The first
+    and last row of each task are set aside, at most two per partition, and joined by rank."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = packed(rows.withColumn("tie", F.xxhash64("text")))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "tie").drop("tie")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, last = TaskContext.get().partitionId(), None
+        part, begun, chunk, size = TaskContext.get().partitionId(), False, [], 0
         for b in batches:
-            out = []
             for key, text in zip(b["doc_id"].astype(object).where(b["doc_id"].notna(), None), map(unpacked, b["text"]), strict=True):
-                s = sketch(text)
-                if last is None:
-                    out.append((None,) * 7 + (0, part, key, text))
-                else:
-                    out.append(_judged(*last, text, s) + (None,) * 4)
-                last = (key, text, s)
-            yield _frame(out)
-        if last is not None:
-            yield _frame([(None,) * 7 + (1, part, *last[:2])])
-
-    def _frame(out: list[tuple]) -> pd.DataFrame:
-        df = pd.DataFrame(out, columns=[*_COLS, "edge", "part", "edge_id", "edge_text"])
-        return df.astype({c: "Int64" for c in ("doc_id", "n_chars", "edge", "part", "edge_id")}).astype({"near_edited": float, "near_next": float})
-
-    done = staged(ordered.mapInPandas(run, f"{_ROW}, edge int, part int, edge_id long, edge_text string"))
+                if not begun:
+                    begun = True
+                    yield _frame((None, 0, part, key, text))
+                chunk.append((key, text))
+                size += len(text)
+                if len(chunk) > 1 and size > CHUNK:
+                    yield _frame((_tight(chunk), *(None,) * 4))
+                    chunk, size = chunk[-1:], len(text)
+        if len(chunk) > 1:
+            yield _frame((_tight(chunk), *(None,) * 4))
+        if chunk:
+            yield _frame((None, 1, part, *chunk[-1]))
+
+    def _tight(chunk: list[tuple]) -> bytes:
+        return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(chunk))
+
+    def _frame(row: tuple) -> pd.DataFrame:
+        df = pd.DataFrame([row], columns=["chunk", "edge", "part", "edge_id", "edge_text"])
+        return df.astype({c: "Int64" for c in ("edge", "part", "edge_id")})
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for chunk in b["chunk"]:
+                pairs = pickle.loads(zstandard.decompress(chunk))
+                sketches = (sketch(text) for _, text in pairs)
+                out, own = [], next(sketches)
+                for (key, text), (_, after), other in zip(pairs, pairs[1:], sketches):
+                    out.append(_judged(key, text, own, after, other))
+                    own = other
+                yield pd.DataFrame(out, columns=_COLS).astype({"doc_id": "Int64"})
+
+    done = staged(ordered.mapInPandas(run, "chunk binary, edge int, part int, edge_id long, edge_text string"))
     edges = done.where("edge IS NOT NULL").select("edge", "part", "edge_id", "edge_text")
     parts = edges.select("part").distinct().select("part", F.row_number().over(Window.orderBy("part")).alias("rank"))
     parts = parts.withColumn("then", F.col("rank") % parts.agg(F.count("*")).scalar() + 1)
@@ -128,4 +149,4 @@ def edits_and_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield pd.DataFrame(out, columns=_COLS).astype({"doc_id": "Int64"})
 
     wrapped = ends.join(starts, "then").select("edge_id", "edge_text", "after").mapInPandas(finish, _ROW)
-    return done.where("edge IS NULL").select(*_COLS).unionByName(wrapped)
+    return done.where("edge IS NULL").select("chunk").mapInPandas(judge, _ROW).unionByName(wrapped)
