@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import zstandard
@@ -16,13 +19,20 @@ SPACES = r"[\x20\x09-\x0D]"
 #: Most rows of one long column that are broadcast (about 100 MB when hashed).
 BROADCAST_ROWS = 2_000_000
 
-_staged: list[str] = []
+#: A key that fills more than one in so many rows is heavy; a table has fewer heavy keys than this.
+HEAVY = 1000
+
+#: The paths that `staged` notes down for whoever cleans up.
+_owner: ContextVar[list[str] | None] = ContextVar("facetry_staged", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where spark.checkpoint.dir is unset."""
+    """The folder that driver and executors share. Where spark.checkpoint.dir is unset, one is made for a local
+    session, which has one machine; on a cluster that would be a folder that executors do not see, so it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="facetry-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -30,28 +40,67 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back, so that later plans neither repeat its work nor depend
-    on executors that may be lost."""
+    on executors that may be lost. The table belongs to the `cleanup` around the call, if there is one."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/facetry/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _staged.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_staged(spark: SparkSession) -> None:
-    """Delete the staged tables of this process; call it when the results that read them are written."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _staged:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows of docs whose id is not in ids (one column of that name). The ids are counted first: up to `limit`
-    they are broadcast and the texts stay where they are; beyond it both sides are shuffled."""
-    ids = staged(ids.distinct())
-    small = ids.count() <= limit
-    return docs.join(F.broadcast(ids) if small else ids, id_col, "left_anti")
+    if (paths := _owner.get()) is not None:
+        paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that `staged` returned and that nothing reads any more."""
+    for t in tables:
+        deleted(t.sparkSession, t.staged_path)
+
+
+@contextmanager
+def cleanup(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were staged inside, and no others; write the results before that."""
+    mine: list[str] = []
+    token = _owner.set(mine)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+        for path in mine:
+            deleted(spark, path)
+
+
+def joined_to_counted(left: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of left with counted, which has each key once and, as n, how many rows of left have it. Heavy keys
+    (fewer than `HEAVY`, as each fills more than one in `HEAVY` rows of left) are broadcast and their rows of left stay
+    where they are; only the others are shuffled. Read left and counted from written tables."""
+    heavy = F.col("n") * HEAVY > left.count()
+    some = F.broadcast(counted.where(heavy).drop("n"))
+    rest = left.join(F.broadcast(counted.where(heavy).select(*keys)), keys, "left_anti")
+    return left.join(some, keys).unionByName(rest.join(counted.where(~heavy).drop("n"), keys))
+
+
+def own_name(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+def only_kept(docs: DataFrame, kept: Callable[[DataFrame, str], DataFrame], limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of docs whose number is among kept(docs with row numbers, name of the number's column). Rows have
+    numbers of their own, so ids may repeat or be missing. docs is a table read from files, whose scan gives the same
+    numbers each time. The numbers to drop are counted first: up to `limit` they are broadcast and the texts stay where
+    they are; beyond it both sides are shuffled."""
+    row = own_name(docs, "facetry_row")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    gone = staged(rows.select(row).join(kept(rows, row).select(row), row, "left_anti"))
+    return rows.join(F.broadcast(gone) if gone.count() <= limit else gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def text_or_empty(text_col: str) -> Column:

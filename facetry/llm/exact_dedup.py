@@ -21,17 +21,19 @@ _LAST = (1 << 63) - 1
 
 
 def _sizes(rows: DataFrame) -> DataFrame:
-    best = F.min(F.struct((-F.col("n_points")).alias("shorter"), F.coalesce("doc_id", F.lit(_LAST)).alias("rank"), "doc_id"))
-    return rows.groupBy("text_sha256").agg(best["doc_id"].alias("keep_id"), F.count("*").alias("group_size"))
+    best = F.min(F.struct((-F.col("n_points")).alias("shorter"), F.coalesce("doc_id", F.lit(_LAST)).alias("rank"), "row", "doc_id"))
+    return rows.groupBy("text_sha256").agg(best["doc_id"].alias("keep_id"), best["row"].alias("keep_row"), F.count("*").alias("group_size"))
 
 
 def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy_items: int = 256, sketch_items: int = 4096
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy_items: int = 256, sketch_items: int = 4096, row_col: str | None = None
 ) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256. With `row_col`, a column that numbers the
+    rows, it is returned too and exactly one row of each group is kept, that of the least number among repeated ids."""
     text = text_or_empty(text_col)
     rows = staged(
         docs.select(
+            (F.col(row_col) if row_col else F.lit(0)).cast("long").alias("row"),
             F.col(id_col).cast("long").alias("doc_id"),
             F.char_length(text).cast("long").alias("n_points"),
             F.sha2(F.regexp_replace(text, SPACES, ""), 256).alias("text_sha256"),
@@ -41,10 +43,11 @@ def exact_dedup(
     frequent = top.select(F.explode("top").alias("t")).where("t.count > 1").select(F.col("t.item").alias("text_sha256"))
     heavy = F.broadcast(staged(_sizes(rows.join(F.broadcast(frequent), "text_sha256", "left_semi"))))
     rest = rows.join(heavy, "text_sha256", "left_anti")
+    kept = F.col("row") == F.col("keep_row") if row_col else F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return (
         rows.join(heavy, "text_sha256")
         .unionByName(rest.join(_sizes(rest), "text_sha256"))
-        .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+        .select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", *([F.col("row").alias(row_col)] if row_col else []))
     )
 
 

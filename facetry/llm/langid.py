@@ -8,19 +8,19 @@ rejected when its cosine is below `slack` times the first percentile that texts
 the sample; the limits are fitted for sizes from a few letters up, so short clean texts are not turned away.
 
 Defined cases: a null text or one without a letter is `und`, rejected, with score 0; documents without a language
-or id are not learned from but are predicted; repeated rows get the same prediction; with nothing to learn from
+or id are not learned from but are predicted (held_out is false without an id); repeated rows get the same prediction; with nothing to learn from
 everything is `und`; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged, text_or_empty
@@ -81,6 +81,12 @@ class Model:
     of: np.ndarray
     limits: np.ndarray
 
+    def with_open_band(self) -> Model:
+        """The model with no limit for texts of the first band."""
+        limits = self.limits.copy()
+        limits[:, :1] = 0.0
+        return Model(self.langs, self.idf, self.centroids, self.of, limits)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score, rejected."""
         langs, scores, out = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
@@ -157,9 +163,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, rejected: one map over the whole texts. The first band's limit is 0."""
-    limits = model.limits.copy()
-    limits[:, :1] = 0.0
-    shared = docs.sparkSession.sparkContext.broadcast(Model(model.langs, model.idf, model.centroids, model.of, limits))
+    shared = docs.sparkSession.sparkContext.broadcast(model.with_open_band())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -170,8 +174,19 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     return rows.mapInPandas(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def rejects(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A column function of the text: whether the model rejects it. For a session and not for docs, as no row is keyed."""
+    shared = spark.sparkContext.broadcast(model.with_open_band())
+
+    @F.pandas_udf("boolean")
+    def rejected(text: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.predict(list(text))[2])
+
+    return rejected
+
+
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score, rejected; learned from the rows not held out."""
     model = fit(docs.where(learned_from(id_col)), id_col, text_col, lang_col)
     out = predicted(docs, model, id_col, text_col)
-    return out.select("doc_id", (~learned_from()).alias("held_out"), "lang_pred", "score", "rejected")
+    return out.select("doc_id", F.coalesce(~learned_from(), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")

@@ -1,19 +1,23 @@
 """Substring deduplication by recompression.
 
-Words are named by a hash of their bytes, so equal words have equal names everywhere. A round of recompression
-names runs of one symbol and then pairs, a symbol of the left half of a hash-split alphabet followed by one of the
-right half. Each symbol carries the interval of words that its making depends on; wherever those words occur, the
-same symbol is made, so equal substrings have the same interior symbols. Of the symbols after two rounds whose
-interval lies inside a window, each window takes the one of least name; where none does, one of the first round, and
-else its own content. Equal windows take the same symbol, named with the words of its interval.
-
-Spark then finds the symbols that several documents share (counts combined on the map side), brings them to their
-documents, and only for windows of shared symbols shuffles the windows' own names to find the smallest doc_id that
-has each. A word goes if a covering window occurs in a document of smaller id. Names are 64 bits; a window is
-identified by its symbol's name and its own, 128 bits together.
-
-Defined cases: a null text has no words; texts shorter than a window keep all words; repeats within one document or
-among rows that repeat a doc_id stay; rows without an id come after all others; an empty table gives an empty result.
+Words are named by a hash of their bytes, so equal words have equal names everywhere. The first round names runs of
+one word; each of the rounds after it names pairs, a symbol of the left half of a hash-split alphabet followed by one of
+the right half. Each symbol carries the interval of words that its making depends on; wherever those words occur, the
+same symbol is made, so equal substrings have the same interior symbols. Names are hashes, so all tasks agree on them
+without a shuffle; what Spark's rounds settle globally is which of them are shared.
+
+The symbols of a level fall into `PARTS` classes by name, which thins them out. A window takes the highest level that
+has a symbol whose interval lies inside, of it the first class that has one, and all symbols of that class inside it; a
+window without any is its own symbol. Equal windows take the same symbols. So a window can occur in two
+documents only if *all* its symbols do. Spark finds the symbols that several documents share (counts combined on the
+map side), brings them to their documents, and only for windows all of whose symbols are shared shuffles the windows'
+own 128-bit names to find the smallest doc_id that has each. A word goes if a covering window occurs in a document of
+smaller id. Names that fill much of a table (at most `common.HEAVY`) are joined by broadcast, all others by shuffle.
+
+Defined cases: rows are told apart by their id and the hash of their text, so rows that repeat an id keep their own
+words and their own verdict (rows that repeat both are judged alike); a null text has no words; texts shorter than a
+window keep all words; repeats within one document, or among rows of one id, stay; rows without an id come after all
+others and not before each other; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,19 +32,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import staged, text_or_empty
+from .common import joined_to_counted, release, staged, text_or_empty
 
-WINDOW, ROUNDS = 13, 2
+WINDOW, ROUNDS, PARTS = 13, 3, 8
 #: Texts that are parsed together.
 BATCH = 64
 _LAST = (1 << 63) - 1
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Two odd bases of the windows' names, and their inverses.
+_BASES = (0xD1342543DE82EF95, 0x9FB21C651E98DF25)
+_FAR = np.int64(1 << 40)
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     x = (x ^ np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
@@ -50,145 +56,173 @@ class Symbols:
     def __init__(self, name: np.ndarray, low: np.ndarray, high: np.ndarray):
         self.name, self.low, self.high = name, low, high
 
-    def _around(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Lows and highs of the left and right neighbours; beyond the ends nothing is known."""
-        far = np.int64(1 << 40)
-        return (
-            np.concatenate([[-far], self.low[:-1]]), np.concatenate([[-far], self.high[:-1]]),
-            np.concatenate([self.low[1:], [far]]), np.concatenate([self.high[1:], [far]]),
-        )
-
     def runs(self, salt: int) -> Symbols:
         """Runs of a symbol become one, named by symbol and length; that a run ends depends on its neighbours."""
         first = np.flatnonzero(np.concatenate([[True], self.name[1:] != self.name[:-1]]))
         last = np.concatenate([first[1:], [len(self.name)]]) - 1
-        left, _, _, right = self._around()
         n = (last - first + 1).astype(np.uint64)
         name = np.where(n > 1, _mix(self.name[first] + n, salt), self.name[first])
-        return Symbols(name, np.minimum(self.low[first], left[first]), np.maximum(self.high[last], right[last]))
+        low, high = np.concatenate([[-_FAR], self.low[:-1]]), np.concatenate([self.high[1:], [_FAR]])
+        return Symbols(name, low[first], high[last])
 
     def pairs(self, salt: int) -> Symbols:
         """A left symbol and the right symbol after it become one; of the others each depends on the side it faces."""
-        is_left = (_mix(self.name, salt) & np.uint64(1)).astype(bool)
-        joins = np.concatenate([is_left[:-1] & ~is_left[1:], [False]])
-        joined = np.concatenate([[False], joins[:-1]])
-        before, _, _, after = self._around()
-        low = np.where(is_left, self.low, np.minimum(self.low, before))
-        high = np.where(is_left, np.maximum(self.high, after), self.high)
+        left = (_mix(self.name, salt) & np.uint64(1)).astype(bool)
+        at = np.flatnonzero(left[:-1] & ~left[1:])
+        low, high = self.low.copy(), self.high.copy()
+        alone = np.flatnonzero(~left[1:]) + 1
+        low[alone] = np.minimum(low[alone], self.low[alone - 1])
+        alone = np.flatnonzero(left[:-1])
+        high[alone] = np.maximum(high[alone], self.high[alone + 1])
+        if not left[0]:
+            low[0] = -_FAR
+        if left[-1]:
+            high[-1] = _FAR
         name = self.name.copy()
-        at = np.flatnonzero(joins)
         name[at] = _mix(self.name[at] * np.uint64(3) + _mix(self.name[at + 1], salt + 1), salt)
-        low[at], high[at] = self.low[at], self.high[at + 1]
-        keep = ~joined
+        low[at], high[at] = np.minimum(self.low[at], self.low[at + 1]), np.maximum(self.high[at], self.high[at + 1])
+        keep = np.ones(len(name), bool)
+        keep[at + 1] = False
         return Symbols(name[keep], low[keep], high[keep])
 
 
 class Names:
     """Names of all substrings of a word sequence, by prefix sums."""
 
-    def __init__(self, words: np.ndarray):
-        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(words), _BASE, np.uint64)]))
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[:-1], dtype=np.uint64)])
-        self.back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(words), _INVERSE, np.uint64)]))
+    def __init__(self, words: np.ndarray, base: int):
+        n = len(words)
+        power = np.full(n + 1, base, np.uint64)
+        back = np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
+        power[0] = back[0] = 1
+        self.back = np.cumprod(back)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(words * np.cumprod(power)[:-1], out=self.sums[1:])
 
     def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         return _mix((self.sums[high] - self.sums[low]) * self.back[low] + (high - low).astype(np.uint64), 77)
 
 
-def _chosen(symbols: Symbols, names: Names, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window start the least name of the symbols inside, and whether there is one."""
-    low, high = np.maximum.accumulate(symbols.low), symbols.high
-    inside = (high - symbols.low <= window) & (symbols.low >= 0) & (high < len(names.sums))
-    low, high, symbol_low, name = low[inside], high[inside], symbols.low[inside], symbols.name[inside]
-    best, found = np.zeros(len(starts), np.uint64), np.zeros(len(starts), bool)
-    if not len(name):
-        return best, found
-    name = _mix(names.of(symbol_low, high) + name, 5)
-    at = np.searchsorted(low, starts)
-    for _ in range(window):
-        ok = at < len(name)
-        i = np.minimum(at, len(name) - 1)
-        ok &= (symbol_low[i] >= starts) & (high[i] <= starts + window)
-        better = ok & (~found | (name[i] < best))
-        best[better] = name[i][better]
-        found |= ok
-        at = at + 1
-    return best, found
-
-
-def parsed(texts: list[str], window: int = WINDOW) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """For each text its number of words and, for every window in order, the chosen symbol's and its own name."""
-    words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-    flat: list[int] = []
-    for i, w in enumerate(words):
-        flat.append(xxh3_64_intdigest(i.to_bytes(8, "little"), 1))  # parts the texts: no window has it
-        flat += map(xxh3_64_intdigest, w)
-    flat.append(xxh3_64_intdigest(b"end", 1))
-    h = np.array(flat, np.uint64)
-    names, place = Names(h), np.arange(len(h), dtype=np.int64)
-    levels, now = [], Symbols(h, place, place + 1)
-    for r in range(ROUNDS):
-        now = now.runs(10 * r + 1).pairs(10 * r + 2)
-        levels.append(now)
-    out, at = [], 1
-    for w in words:
-        starts = np.arange(at, at + max(0, len(w) - window + 1), dtype=np.int64)
-        at += len(w) + 1
-        own = names.of(starts, starts + window)
-        symbol, found = own.copy(), np.zeros(len(starts), bool)
-        if len(starts):
-            for level in reversed(levels):
-                need = np.flatnonzero(~found)
-                if not len(need):
-                    break
-                near = slice(*np.searchsorted(level.low, [starts[0] - 4 * window, starts[-1] + 4 * window]))
-                best, got = _chosen(Symbols(level.name[near], level.low[near], level.high[near]), names, starts[need], window)
-                symbol[need[got]] = best[got]
-                found[need[got]] = True
-        out.append((len(w), symbol, own))
-    return out
+def _spread(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """How many of the ranges [a, b] hold each of 0..n-1."""
+    return np.cumsum(np.bincount(a, minlength=n + 1)[: n + 1] - np.bincount(b + 1, minlength=n + 1)[: n + 1])[:n]
+
+
+class Parsed:
+    """Some texts with their windows and the symbols that the windows take."""
+
+    def __init__(self, texts: list[str], window: int = WINDOW):
+        self.words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        self.window, flat = window, []
+        for i, w in enumerate(self.words):
+            flat.append(xxh3_64_intdigest(i.to_bytes(8, "little"), 1))  # parts the texts: no window has it
+            flat += map(xxh3_64_intdigest, w)
+        flat.append(xxh3_64_intdigest(b"end", 1))
+        self.hashes = h = np.array(flat, np.uint64)
+        n, self.n_windows = len(h), np.array([max(0, len(w) - window + 1) for w in self.words])
+        self.begins = np.cumsum([1, *(len(w) + 1 for w in self.words)])[:-1]
+        self.valid = np.zeros(n, bool)
+        for at, many in zip(self.begins.tolist(), self.n_windows.tolist(), strict=True):
+            self.valid[at : at + many] = True
+        names, place = Names(h, _BASES[0]), np.arange(n, dtype=np.int64)
+        self.names, levels, now = names, [], Symbols(h, place, place + 1).runs(1)
+        for r in range(ROUNDS):
+            now = now.pairs(2 * r + 2)
+            levels.append(now)
+        need = self.valid.copy()
+        #: By level: the window starts [first, last] that have each symbol inside, and the symbol's name.
+        self.taken: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for level in reversed(levels):
+            short = (level.high - level.low <= window) & (level.low >= 0) & (level.high <= n)
+            low, high = level.low[short], level.high[short]
+            first, total = np.maximum(high - window, 0), np.concatenate([[0], np.cumsum(need)])
+            name = names.of(low, high)
+            part = (name >> np.uint64(40)) % np.uint64(PARTS)
+            for p in range(PARTS):
+                own = np.flatnonzero(part == p)
+                serves = own[total[low[own] + 1] > total[first[own]]]
+                self.taken.append((first[serves], low[serves], name[serves]))
+                need &= _spread(first[serves], low[serves], n) == 0
+                if p + 1 < PARTS:
+                    np.cumsum(need, out=total[1:])
+        alone = np.flatnonzero(need)
+        self.taken.append((alone, alone, names.of(alone, alone + window)))
+
+    def symbols(self) -> list[np.ndarray]:
+        """Each text's symbols, without repeats."""
+        place = np.concatenate([low for _, low, _ in self.taken])
+        name = np.concatenate([name for _, _, name in self.taken])
+        of = np.searchsorted(self.begins, place, side="right") - 1
+        order = np.lexsort((name, of))
+        of, name = of[order], name[order]
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (name[1:] != name[:-1])
+        of, name = of[new], name[new]
+        return np.split(name, np.searchsorted(of, np.arange(1, len(self.words))))
+
+    def shared(self, wanted: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows all of whose symbols are among the text's wanted ones: text, start in the text, and the two names."""
+        n, alive, need = len(self.hashes), self.valid.copy(), self.valid.copy()
+        text = np.repeat(np.arange(len(wanted), dtype=np.uint64), [len(x) for x in wanted])
+        known = np.sort(_mix(np.concatenate(wanted), 3) + _mix(text, 4)) if len(wanted) else np.zeros(0, np.uint64)
+        for first, low, name in self.taken:
+            of = (np.searchsorted(self.begins, low, side="right") - 1).astype(np.uint64)
+            key = _mix(name, 3) + _mix(of, 4)
+            at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+            dead = known[at] != key if len(known) else np.ones(len(key), bool)
+            alive &= ~(need & (_spread(first[dead], low[dead], n) > 0))
+            need &= _spread(first, low, n) == 0
+        at = np.flatnonzero(alive)
+        of = np.searchsorted(self.begins, at, side="right") - 1
+        other = Names(_mix(self.hashes, 9), _BASES[1])
+        return of, at - self.begins[of], self.names.of(at, at + self.window), other.of(at, at + self.window)
 
 
 def _in_batches(b: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list]]:
     for first in range(0, len(b), BATCH):
         some = b.iloc[first : first + BATCH]
-        unpacked = [zstandard.decompress(x).decode("utf-8", "surrogatepass") if isinstance(x, bytes) else x for x in some["text"]]
-        yield some, unpacked
+        yield some, [zstandard.decompress(x).decode("utf-8", "surrogatepass") if isinstance(x, bytes) else x for x in some["text"]]
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Texts as compressed bytes, which keeps the shuffles of whole texts small."""
     tight = zstandard.ZstdCompressor(level=3)
     for b in batches:
-        yield pd.DataFrame({"doc_id": b["doc_id"], "text": [tight.compress(t.encode("utf-8", "surrogatepass")) for t in b["text"]]})
+        yield b.assign(text=[tight.compress(t.encode("utf-8", "surrogatepass")) for t in b["text"]])
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by spaces)."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("mark"), "text")
 
     def symbols(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for some, texts in _in_batches(b):
-                each = [np.unique(s) for _, s, _ in parsed(texts, window)]
-                yield pd.DataFrame({"symbol": np.concatenate(each).view(np.int64), "doc_id": np.repeat(some["doc_id"].to_numpy(), [len(x) for x in each])})
+                each = Parsed(texts, window).symbols()
+                n = [len(x) for x in each]
+                yield pd.DataFrame({"symbol": np.concatenate(each).view(np.int64), "doc_id": np.repeat(some["doc_id"].to_numpy(), n), "mark": np.repeat(some["mark"].to_numpy(), n)})
 
-    found = rows.mapInPandas(symbols, "symbol long, doc_id long")
-    shared = found.groupBy("symbol").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("symbol")
-    hits = staged(found.join(shared, "symbol").groupBy("doc_id").agg(F.collect_set("symbol").alias("symbols")))
+    found = staged(rows.mapInPandas(symbols, "symbol long, doc_id long, mark long"))
+    shared = found.groupBy("symbol").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
+    shared = staged(shared.select("symbol", "n"))
+    who = F.xxhash64("doc_id", "mark").alias("who")  # a clash only makes more windows look shared
+    hits = staged(joined_to_counted(found.select("symbol", who), shared, ["symbol"]).groupBy("who").agg(F.collect_list("symbol").alias("symbols")))
+    release(found, shared)
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for some, texts in _in_batches(b):
-                for key, wanted, (_, symbol, own) in zip(some["doc_id"], some["symbols"], parsed(texts, window), strict=True):
-                    at = np.flatnonzero(np.isin(symbol, np.array(wanted, np.int64).view(np.uint64)))
-                    yield pd.DataFrame({"symbol": symbol[at].view(np.int64), "own": own[at].view(np.int64), "doc_id": key, "start": at.astype(np.int32)})
-
-    packed = rows.mapInPandas(_pack, "doc_id long, text binary")
-    seen = staged(packed.join(hits, "doc_id").mapInPandas(windows, "symbol long, own long, doc_id long, start int"))
-    first = seen.groupBy("symbol", "own").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    again = seen.join(first.select("symbol", "own", "first"), ["symbol", "own"]).where("doc_id > first")
-    starts = staged(again.groupBy("doc_id").agg(F.collect_set("start").alias("starts")))
+                wanted = [np.asarray(x, np.int64).view(np.uint64) for x in some["symbols"]]
+                of, start, one, two = Parsed(texts, window).shared(wanted)
+                yield pd.DataFrame({"one": one.view(np.int64), "two": two.view(np.int64), "doc_id": some["doc_id"].to_numpy()[of], "mark": some["mark"].to_numpy()[of], "start": start.astype(np.int32)})
+
+    packed = rows.mapInPandas(_pack, "doc_id long, mark long, text binary")
+    seen = staged(packed.withColumn("who", who).join(hits, "who").drop("who").mapInPandas(windows, "one long, two long, doc_id long, mark long, start int"))
+    first = seen.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
+    first = staged(first.select("one", "two", "first", "n"))
+    again = joined_to_counted(seen, first, ["one", "two"]).where("doc_id > first")
+    starts = staged(again.groupBy("doc_id", "mark").agg(F.collect_set("start").alias("starts")))
+    release(hits, seen, first)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -197,16 +231,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 for key, text, gone in zip(some["doc_id"], texts, some["starts"], strict=True):
                     words = text.encode("utf-8", "surrogatepass").split()
                     if gone is not None and len(gone):
-                        change = np.zeros(len(words) + 1, np.int64)
                         at = np.array(gone, np.int64)
-                        np.add.at(change, at, 1)
-                        np.add.at(change, at + window, -1)
-                        kept = [w for w, n in zip(words, np.cumsum(change)[:-1].tolist(), strict=True) if not n]
+                        kept = [w for w, n in zip(words, _spread(at, at + window - 1, len(words)).tolist(), strict=True) if not n]
                     else:
                         kept = words
                     joined = b" ".join(kept)
                     out.append((key, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "surrogatepass")))
                 yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    done = packed.join(starts, "doc_id", "left").mapInPandas(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    done = packed.join(starts, ["doc_id", "mark"], "left").mapInPandas(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return done.withColumn("doc_id", F.when(F.col("doc_id") != _LAST, F.col("doc_id")))

@@ -144,6 +144,35 @@ def test_substring_dedup(docs, empty):
     assert recompression.substring_dedup(empty).count() == 0
 
 
+def _slow_substring(rows):
+    """(n_words, n_removed, kept_sha256) of each (doc_id, text), by all windows."""
+    last = 1 << 62
+    rows = [(last if i is None else i, (t or "").encode().split()) for i, t in rows]
+    first = {}
+    for i, w in rows:
+        for s in range(len(w) - 12):
+            key = tuple(w[s : s + 13])
+            first[key] = min(i, first.get(key, i))
+    out = []
+    for i, w in rows:
+        gone = {s + k for s in range(len(w) - 12) if first[tuple(w[s : s + 13])] < i for k in range(13)}
+        kept = [x for n, x in enumerate(w) if n not in gone]
+        out.append((None if i == last else i, len(w), len(gone), hashlib.sha256(b" ".join(kept)).hexdigest()))
+    return out
+
+
+def test_substring_dedup_of_repeated_and_missing_ids(spark):
+    rnd = random.Random(3)
+    text = lambda n: " ".join(rnd.choice(WORDS["en"]) + str(rnd.randrange(40)) for _ in range(n))
+    common, line = text(60), text(13)
+    giant = " ".join([text(4000), common, line * 1, text(3000), "la " * 500, line, text(5000)])
+    rows = [(1, common), (5, text(100) + " " + common), (5, "four small words only"), (5, text(160)), (None, text(100) + " " + common), (None, "a few words"), (None, common), (7, giant), (9, giant), (9, giant), (4, "la " * 40), (2, line)]
+    rows += [(20 + i, f"{text(20)} {line} {text(20)}") for i in range(60)] + [(None, None), (30, "")]
+    got = recompression.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).drop("kept").collect()
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(map(tuple, got), key=key) == sorted(_slow_substring(rows), key=key)
+
+
 def test_pii(docs, empty):
     strict = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
