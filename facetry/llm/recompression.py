@@ -6,6 +6,9 @@ the right half. Each symbol carries the interval of words that its making depend
 same symbol is made, so equal substrings have the same interior symbols. Names are hashes, so all tasks agree on them
 without a shuffle; what Spark's rounds settle globally is which of them are shared.
 
+A text's top symbol names all its words (128 bits). Texts of one top symbol repeat each other from end to end: those of
+the smallest id go on to the windows, of the others all words go.
+
 The symbols of a level fall into `PARTS` classes by name, which thins them out. A window takes the highest level that
 has a symbol whose interval lies inside, of it the first class that has one, and all symbols of that class inside it; a
 window without any is its own symbol. Equal windows take the same symbols. So a window can occur in two
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import joined_to_counted, release, staged, text_or_empty
+from .common import BROADCAST_ROWS, joined_to_counted, release, staged, text_or_empty
 
 WINDOW, ROUNDS, PARTS = 13, 3, 8
 #: Texts that are parsed together.
@@ -177,6 +180,16 @@ class Parsed:
         return of, at - self.begins[of], self.names.of(at, at + self.window), other.of(at, at + self.window)
 
 
+def tops(texts: list[str]) -> list[tuple[int, int]]:
+    """The top symbol of each text: two names of all its words."""
+    words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+    h = np.fromiter((x for w in words for x in map(xxh3_64_intdigest, w)), np.uint64, sum(map(len, words)))
+    ends = np.cumsum([0, *map(len, words)])
+    names = Names(h, _BASES[0]), Names(_mix(h, 9), _BASES[1])
+    one, two = (n.of(ends[:-1], ends[1:]).view(np.int64).tolist() for n in names)
+    return list(zip(one, two, strict=True))
+
+
 def _in_batches(b: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list]]:
     for first in range(0, len(b), BATCH):
         some = b.iloc[first : first + BATCH]
@@ -202,7 +215,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 n = [len(x) for x in each]
                 yield pd.DataFrame({"symbol": np.concatenate(each).view(np.int64), "doc_id": np.repeat(some["doc_id"].to_numpy(), n), "mark": np.repeat(some["mark"].to_numpy(), n)})
 
-    found = staged(rows.mapInPandas(symbols, "symbol long, doc_id long, mark long"))
+    def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for some, texts in _in_batches(b):
+                yield pd.DataFrame(tops(texts), columns=["one", "two"]).assign(doc_id=some["doc_id"].to_numpy(), mark=some["mark"].to_numpy())
+
+    packed = rows.mapInPandas(_pack, "doc_id long, mark long, text binary")
+    named = staged(rows.mapInPandas(top, "one long, two long, doc_id long, mark long"))
+    classes = named.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
+    classes = staged(classes.select("one", "two", "first", "n"))
+    copies = staged(joined_to_counted(named, classes, ["one", "two"]).where("doc_id > first").select("doc_id", "mark").distinct())
+    release(named, classes)
+    if copies.count() <= BROADCAST_ROWS:
+        first_texts, first_packed = (x.join(F.broadcast(copies), ["doc_id", "mark"], "left_anti") for x in (rows, packed))
+    else:
+        first_texts = first_packed = packed.join(copies, ["doc_id", "mark"], "left_anti")
+    found = staged(first_texts.mapInPandas(symbols, "symbol long, doc_id long, mark long"))
     shared = found.groupBy("symbol").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
     shared = staged(shared.select("symbol", "n"))
     who = F.xxhash64("doc_id", "mark").alias("who")  # a clash only makes more windows look shared
@@ -216,21 +244,23 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 of, start, one, two = Parsed(texts, window).shared(wanted)
                 yield pd.DataFrame({"one": one.view(np.int64), "two": two.view(np.int64), "doc_id": some["doc_id"].to_numpy()[of], "mark": some["mark"].to_numpy()[of], "start": start.astype(np.int32)})
 
-    packed = rows.mapInPandas(_pack, "doc_id long, mark long, text binary")
-    seen = staged(packed.withColumn("who", who).join(hits, "who").drop("who").mapInPandas(windows, "one long, two long, doc_id long, mark long, start int"))
+    seen = staged(first_packed.withColumn("who", who).join(hits, "who").drop("who").mapInPandas(windows, "one long, two long, doc_id long, mark long, start int"))
     first = seen.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
     first = staged(first.select("one", "two", "first", "n"))
     again = joined_to_counted(seen, first, ["one", "two"]).where("doc_id > first")
-    starts = staged(again.groupBy("doc_id", "mark").agg(F.collect_set("start").alias("starts")))
+    starts = again.groupBy("doc_id", "mark").agg(F.collect_set("start").alias("starts")).withColumn("whole", F.lit(False))
+    starts = staged(starts.unionByName(copies.select("doc_id", "mark", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("whole"))))
     release(hits, seen, first)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for some, texts in _in_batches(b):
                 out = []
-                for key, text, gone in zip(some["doc_id"], texts, some["starts"], strict=True):
+                for key, text, gone, whole in zip(some["doc_id"], texts, some["starts"], some["whole"], strict=True):
                     words = text.encode("utf-8", "surrogatepass").split()
-                    if gone is not None and len(gone):
+                    if whole is True and len(words) >= window:
+                        kept = []
+                    elif gone is not None and len(gone):
                         at = np.array(gone, np.int64)
                         kept = [w for w, n in zip(words, _spread(at, at + window - 1, len(words)).tolist(), strict=True) if not n]
                     else:
