@@ -2,10 +2,12 @@
 
 A document's stream is its token ids and an end id; only longer streams are cut, into pieces of the full sequence
 length and a rest. Pieces are dealt by a hash into groups of about `group_pieces`, and every group is packed by one
-task: best-fit decreasing gives the incumbent, then branch and bound completes one sequence at a time around the
-longest piece left. The fillings tried are the undominated ones of least waste, and a branch ends when the waste so
-far shows that it cannot beat the incumbent. A group that reaches the lower bound (its tokens over the length,
-rounded up) stops at once. Many groups cost at most a partly filled sequence each.
+task: the better of best-fit decreasing and one dive is the incumbent, then branch and bound completes one sequence at
+a time around the longest piece left. All undominated fillings are enumerated lazily, of any number of pieces, least
+waste first, and a branch ends when the waste so far shows that it cannot beat the incumbent. A group that reaches the
+lower bound (its tokens over the length, rounded up) stops at once. Only `nodes`, the search steps per piece, ends the
+search before it is complete; each row reports its group's sequences and lower bound, which shows how far that may be
+from the best. Many groups cost at most a partly filled sequence each.
 
 Defined cases: a null text counts as empty and is packed as its end id alone; repeated rows are packed each; an
 empty table gives an empty result; other columns are ignored.
@@ -16,7 +18,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,8 @@ from tokenizers import Tokenizer
 
 from .common import staged, text_or_empty
 
-LENGTH, GROUP_PIECES, NODES = 2048, 20_000, 20_000
+#: NODES: search steps per piece after which a group keeps its best packing.
+LENGTH, GROUP_PIECES, NODES = 2048, 20_000, 20
 #: Texts that are encoded together.
 BATCH = 256
 #: Most remembered chunks per worker; further ones are encoded anew: about 200 MB.
@@ -147,55 +150,138 @@ class _Counts:
         """The longest length left of at most `most`, or 0."""
         return (self.has & ((2 << most) - 1)).bit_length() - 1 if most > 0 and self.has & ((2 << most) - 1) else 0
 
-    def pair(self, total: int) -> tuple[int, int] | None:
-        """Two pieces of that total, the longest possible first."""
-        both = self.has & (self.back >> (self.length - total))
+    def least(self) -> int:
+        """The shortest length left, or 0."""
+        return (self.has & -self.has).bit_length() - 1 if self.has else 0
+
+    def pairs(self, total: int, most: int) -> Iterator[tuple[int, int]]:
+        """Every two pieces of that total, none longer than `most`, the longest first."""
+        if total < 2:
+            return
+        both = self.has & (self.back >> (self.length - total)) & ((2 << most) - 1)
         while both:
             a = both.bit_length() - 1
             if a * 2 < total:
-                return None
+                return
             if a * 2 > total or self.n[a] > 1:
-                return a, total - a
+                yield a, total - a
             both ^= 1 << a
-        return None
-
-
-def completions(left: _Counts, room: int, most: int = 4, tries: int = 24) -> list[tuple[int, ...]]:
-    """Undominated fillings of the room, least waste first: exact ones of one, two or three pieces, then near ones.
-    A filling is dominated when one of its pieces could be exchanged for a longer one that still fits."""
-    out: list[tuple[int, ...]] = []
-    if (x := left.longest(room)) == 0:
-        return [()]
-    for waste in range(min(room, 64)):
-        total = room - waste
-        if left.n.get(total, 0):
-            out.append((total,))
-        if two := left.pair(total):
-            out.append(two)
-        if len(out) < most:
-            first, seen = left.longest(total - 2), 0
-            while first > 0 and seen < tries and first * 3 >= total:
-                left.take(first)
-                two = left.pair(total - first)
-                left.put(first)
-                if two and two[0] <= first:
-                    out.append((first, *two))
-                    break
-                seen += 1
-                first = left.longest(first - 1)
-        if len(out) >= most:
-            break
-    if not out:  # best fit, one piece after another
-        filling, taken = [], room
-        while x:
-            filling.append(x)
+
+
+class _Spent(Exception):
+    """The nodes are used up."""
+
+
+class _Budget:
+    def __init__(self, nodes: int):
+        self.nodes = nodes
+
+    def use(self) -> bool:
+        self.nodes -= 1
+        return self.nodes >= 0
+
+
+def _exact(left: _Counts, total: int, budget: _Budget) -> Iterator[tuple[int, ...]]:
+    """Every multiset of the pieces left with that total: one piece, two, then more, the longest first. While a
+    filling is out, `left` is as it was; it has to be so again when the next one is asked for."""
+    if left.n.get(total, 0):
+        yield (total,)
+    chosen: list[int] = []
+    rooms, following = [total], [total]
+    entered = True
+    while rooms:
+        if not budget.use():
+            for x in chosen:
+                left.put(x)
+            raise _Spent
+        room, most = rooms[-1], following[-1]
+        if entered:
+            for two in list(left.pairs(room, min(room, chosen[-1] if chosen else room))):
+                for x in chosen:
+                    left.put(x)
+                yield (*chosen, *two)
+                for x in chosen:
+                    left.take(x)
+        a = left.longest(min(most, room - 2 * left.least()))
+        if a:
+            following[-1] = a - 1
+            left.take(a)
+            chosen.append(a)
+            rooms.append(room - a)
+            following.append(a)
+            entered = True
+        else:
+            rooms.pop()
+            following.pop()
+            if chosen:
+                left.put(chosen.pop())
+            entered = False
+
+
+def dominated(left: _Counts, filling: tuple[int, ...], waste: int) -> bool:
+    """Can a piece that is not in the filling be added, or replace a shorter one, or two or more of at most its length,
+    within the waste? Then the filling with that piece leaves no more to do than this one. `left` has the filling taken out."""
+    none, one, more = 1, 0, 0  # sums of no, one, and several of the filling's pieces, as bits
+    for x in filling:
+        more |= (more | one) << x
+        one |= none << x
+    wide, step = more, 1
+    while step <= waste:
+        wide |= wide << min(step, waste + 1 - step)
+        step *= 2
+    longer, step = one << 1 if waste else 0, 1
+    while step < waste:
+        longer |= longer << min(step, waste - step)
+        step *= 2
+    return bool(left.has & (wide | longer | ((2 << waste) - 2)))
+
+
+def completions(left: _Counts, room: int, budget: _Budget) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of the room, one at a time, least waste first."""
+    total = sum(x * n for x, n in left.n.items() if n) if left.least() and left.least() * 64 > room else room + 1
+    if total <= room:  # all that is left fits
+        yield tuple(x for x, n in left.n.items() for _ in range(n))
+        return
+    if not left.longest(room):
+        yield ()
+        return
+    for waste in range(room - left.least() + 1):
+        for filling in _exact(left, room - waste, budget):
+            for x in filling:
+                left.take(x)
+            bad = dominated(left, filling, waste)
+            for x in filling:
+                left.put(x)
+            if not bad:
+                yield filling
+
+
+def _greedy(left: _Counts, room: int) -> tuple[int, ...]:
+    """Best fit: the longest piece that fits, again and again."""
+    filling = []
+    while x := left.longest(room):
+        filling.append(x)
+        left.take(x)
+        room -= x
+    for x in filling:
+        left.put(x)
+    return tuple(filling)
+
+
+def dive(counts: dict[int, int], length: int = LENGTH, effort: int = 200) -> list[tuple[int, ...]]:
+    """An incumbent: each sequence, around the longest piece left, takes its first filling that is found within
+    `effort` nodes, or else best fit's."""
+    left, out = _Counts(counts, length), []
+    while first := left.longest(length):
+        left.take(first)
+        try:
+            filling = next(completions(left, length - first, _Budget(effort)))
+        except _Spent:
+            filling = _greedy(left, length - first)
+        for x in filling:
             left.take(x)
-            taken -= x
-            x = left.longest(taken)
-        for y in filling:
-            left.put(y)
-        out.append(tuple(filling))
-    return sorted(dict.fromkeys(out), key=lambda f: room - sum(f))[:most]
+        out.append((first, *filling))
+    return out
 
 
 def best_fit(counts: dict[int, int], length: int = LENGTH) -> list[tuple[int, ...]]:
@@ -221,44 +307,52 @@ def best_fit(counts: dict[int, int], length: int = LENGTH) -> list[tuple[int, ..
     return [tuple(b) for b in bins]
 
 
+def lower_bound(counts: dict[int, int], length: int = LENGTH) -> int:
+    return -(-sum(x * n for x, n in counts.items()) // length)
+
+
 def pack(counts: dict[int, int], length: int = LENGTH, nodes: int = NODES) -> list[tuple[int, ...]]:
-    """Fillings that use every piece, in as few sequences as the search finds."""
-    total = sum(x * n for x, n in counts.items())
-    bound = -(-total // length)
-    best = best_fit(counts, length)
-    left, path, waste, spent = _Counts(counts, length), [], 0, 0
-    stack: list[list[tuple[int, ...]]] = []
-    while len(best) > bound and spent < nodes + 4 * len(best):
-        spent += 1
-        first = left.longest(length)
-        if not first:
-            if len(path) < len(best):
-                best = list(path)
-        elif waste <= (len(best) - 1) * length - total:
-            left.take(first)
-            options = [(first, *f) for f in completions(left, length - first)]
-            left.put(first)
-            stack.append(options[::-1])
-            path.append(())
-        while stack:  # the next filling of the deepest sequence that has one
-            for x in path[-1]:
-                left.put(x)
-            waste -= length - sum(path[-1]) if path[-1] else 0
-            if stack[-1]:
-                path[-1] = stack[-1].pop()
-                for x in path[-1]:
-                    left.take(x)
-                waste += length - sum(path[-1])
+    """Fillings that use every piece, in the fewest sequences; `nodes` search steps per piece at most, and without
+    having reached them the result is the least possible."""
+    total, bound = sum(x * n for x, n in counts.items()), lower_bound(counts, length)
+    best = min(best_fit(counts, length), dive(counts, length), key=len)
+    left, path, waste, budget = _Counts(counts, length), [], 0, _Budget(nodes * sum(counts.values()))
+    stack: list[tuple[int, Iterator[tuple[int, ...]]]] = []
+    try:
+        while len(best) > bound:
+            first = left.longest(length)
+            if not first:
+                if len(path) < len(best):
+                    best = list(path)
+            elif waste <= (len(best) - 1) * length - total:
+                left.take(first)
+                stack.append((first, completions(left, length - first, budget)))
+                path.append(())
+            while stack:  # the next filling of the deepest sequence that has one
+                first, options = stack[-1]
+                if path[-1]:
+                    for x in path[-1][1:]:
+                        left.put(x)
+                    waste -= length - sum(path[-1])
+                filling = next(options, None)
+                if filling is not None:
+                    path[-1] = (first, *filling)
+                    for x in filling:
+                        left.take(x)
+                    waste += length - sum(path[-1])
+                    break
+                left.put(first)
+                stack.pop()
+                path.pop()
+            if not stack:
                 break
-            stack.pop()
-            path.pop()
-        if not stack:
-            break
+    except _Spent:
+        pass
     return best
 
 
-def packed(parts: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIECES, packer: Callable = pack) -> DataFrame:
-    """parts with sequence_id and offset; every input column stays."""
+def packed(parts: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIECES, nodes: int = NODES) -> DataFrame:
+    """parts with sequence_id and offset, and the sequences and lower bound of its group; every input column stays."""
     groups = max(1, round(parts.count() / group_pieces))
     grouped = parts.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
 
@@ -268,7 +362,9 @@ def packed(parts: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIE
         values, at, n = np.unique(-lengths, return_index=True, return_counts=True)
         following = {-int(v): int(a) for v, a in zip(values, at, strict=True)}
         row_bin, offset = np.zeros(len(df), np.int64), np.zeros(len(df), np.int64)
-        for k, filling in enumerate(packer({-int(v): int(c) for v, c in zip(values, n, strict=True)}, length)):
+        counts = {-int(v): int(c) for v, c in zip(values, n, strict=True)}
+        fillings = pack(counts, length, nodes)
+        for k, filling in enumerate(fillings):
             place = 0
             for x in filling:
                 i = following[x]
@@ -276,11 +372,13 @@ def packed(parts: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIE
                 row_bin[i], offset[i] = k, place
                 place += x
         df["sequence_id"], df["offset"] = (df["pack_group"].to_numpy() << 32) + row_bin, offset
+        df["group_sequences"], df["group_bound"] = len(fillings), lower_bound(counts, length)
         return df.drop(columns="pack_group")
 
-    return grouped.groupBy("pack_group").applyInPandas(run, parts.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema)
+    new = [F.lit(0).cast("long").alias(c) for c in ("sequence_id", "offset", "group_sequences", "group_bound")]
+    return grouped.groupBy("pack_group").applyInPandas(run, parts.select("*", *new).schema)
 
 
-def best_fit_packing(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return packed(staged(pieces(docs, tokenizer_path, id_col, text_col, length)), length)
+def best_fit_packing(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, nodes: int = NODES) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, group_sequences, group_bound."""
+    return packed(staged(pieces(docs, tokenizer_path, id_col, text_col, length)), length, nodes=nodes)
