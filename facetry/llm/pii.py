@@ -17,6 +17,7 @@ nothing is added; repeated rows are judged alike; an empty table gives an empty
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression
@@ -48,23 +49,43 @@ AGAINST = r"(?i)(?:version|ver\.|isbn|order|invoice|serial|id|no\.)\W*$"
 LABELERS, ROUNDS = ("strict", "check", "known", "cue", "edge"), 8
 #: What the classifier sees; it has to do without the strict pattern, which all base spans match.
 FEATURES = LABELERS[1:]
-_SPANS = "array<struct<start:int,end:int,text:string>>"
-
-
-def _located(text: Column, test: str, pattern: str) -> Column:
-    """Matches with their places in code points, from the text between them."""
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sized = F.zip_with(found, between, lambda m, gap: F.struct(m.alias("m"), F.char_length(gap).alias("gap"), F.char_length(m).alias("size")))
-    sized = F.filter(sized, lambda x: x["m"].isNotNull())
-    none = F.array().cast(_SPANS)
-
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        span = F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["m"].alias("text"))
-        return F.struct((start + x["size"]).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-    spans = F.aggregate(sized, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda acc: acc["spans"])
-    return F.when(F.rlike(text, F.lit(test)), spans).otherwise(none)
+_SPANS = "array<struct<start:int,end:int,text:string,before:string,edges:string>>"
+#: Items of a running total that are taken together, and characters of a text that are cut together.
+BLOCK, CUT = 256, 1024
+
+
+def _running(rows: DataFrame, out: str, items: Column, zero: int, fold: Callable[[Column, Column], Column]) -> DataFrame:
+    """rows with the running fold of an array of integers in column `out`. Arrays grow only within blocks and by one
+    value for each block, so long arrays are not copied for each of their items."""
+
+    def along(x: Column) -> Column:
+        none = F.array().cast("array<int>")
+        return F.aggregate(x, none, lambda acc, y: F.concat(acc, F.array(fold(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(zero)), y))))
+
+    keep = [c for c in rows.columns if c != out]
+    rows = rows.withColumn("pii_items", items)
+    count = F.floor((F.size("pii_items") + BLOCK - 1) / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.slice("pii_items", (i - 1) * BLOCK + 1, BLOCK))
+    rows = rows.withColumn("pii_inside", F.transform(blocks, along))
+    rows = rows.withColumn("pii_starts", F.concat(F.array(F.lit(zero)), along(F.transform("pii_inside", lambda x: F.get(x, F.size(x) - 1)))))
+    whole = F.zip_with("pii_inside", F.slice("pii_starts", 1, F.size("pii_inside")), lambda x, start: F.transform(x, lambda y: fold(start, y)))
+    return rows.select(*keep, F.flatten(whole).alias(out))
+
+
+def _located(rows: DataFrame, name: str, test: str, pattern: str) -> DataFrame:
+    """rows with the matches in column `name`: their places in code points, from the text between them, and what stands
+    before and around each. Every step passes over the text once."""
+    text, gaps, all_found = F.col("text"), f"{name}_gaps", f"{name}_found"
+    hit = F.rlike(text, F.lit(test))
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn(gaps, F.when(hit, F.split(text, pattern, -1)).otherwise(none))
+    rows = rows.withColumn(all_found, F.when(hit, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
+    steps = F.zip_with(all_found, F.slice(gaps, 1, F.size(all_found)), lambda m, gap: F.char_length(gap) + F.char_length(m))
+    rows = _running(rows, f"{name}_ends", steps, 0, lambda x, y: x + y)
+    around = F.zip_with(F.slice(gaps, 1, F.size(all_found)), F.slice(gaps, 2, F.size(all_found)), lambda one, two: F.struct(F.right(one, F.lit(32)).alias("before"), F.concat(F.right(one, F.lit(1)), F.lit(" "), F.substring(two, 1, 1)).alias("edges")))
+    placed = F.zip_with(all_found, f"{name}_ends", lambda m, end: F.struct(m.alias("m"), end.alias("end")))
+    sized = F.zip_with(placed, around, lambda x, y: F.struct((x["end"] - F.char_length(x["m"])).alias("start"), x["end"].alias("end"), x["m"].alias("text"), y["before"].alias("before"), y["edges"].alias("edges")))
+    return rows.withColumn(name, sized.cast(_SPANS)).drop(gaps, all_found, f"{name}_ends")
 
 
 def _digits(m: Column) -> Column:
@@ -80,12 +101,11 @@ def _valid(kind: str, m: Column) -> Column:
     return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
-def _votes(kind: str, text: Column, base: bool):
-    """A span with its votes, each -1, 0 or 1."""
+def _votes(kind: str, base: bool):
+    """A span with its votes, each -1, 0 or 1. Cues are looked for in the text since the match before."""
 
     def run(s: Column) -> Column:
-        before = F.substring(text, F.greatest(s["start"] - 31, F.lit(1)), F.least(s["start"], F.lit(32)))
-        edges = F.concat(F.substring(text, F.greatest(s["start"], F.lit(1)), F.least(s["start"], F.lit(1))), F.lit(" "), F.substring(text, s["end"] + 1, F.lit(1)))
+        before, edges = s["before"], s["edges"]
         m, one, no, none = s["text"], F.lit(1), F.lit(-1), F.lit(0)
         check = F.when(_valid(kind, m), one).otherwise(no) if kind == "card" or base else none
         return F.struct(
@@ -106,13 +126,33 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def _candidates_of(rows: DataFrame, key: str) -> DataFrame:
     """rows: columns key and text."""
-    text = F.col("text")
-    rows = rows.select("*", *[_located(text, *STRICT[k]).alias(f"s_{k}") for k in KINDS], *[_located(text, *WIDE[k]).alias(f"w_{k}") for k in KINDS])
-    strict = F.concat(*[F.transform(F.filter(f"s_{k}", _keeps(k)), _votes(k, text, True)) for k in KINDS])
-    wide = F.concat(*[F.transform(f"w_{k}", _votes(k, text, False)) for k in KINDS])
-    rows = rows.select(key, "text", strict.alias("strict"), wide.alias("wide"))
-    apart = F.filter("wide", lambda w: ~F.exists("strict", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    return rows.select(key, "text", F.array_sort(F.concat("strict", apart)).alias("spans"))
+    kept = rows.columns
+    for k in KINDS:
+        rows = _located(_located(rows, f"pii_s_{k}", *STRICT[k]), f"pii_w_{k}", *WIDE[k])
+    strict = [F.transform(F.filter(f"pii_s_{k}", _keeps(k)), _votes(k, True)) for k in KINDS]
+    wide = [F.transform(f"pii_w_{k}", _votes(k, False)) for k in KINDS]
+    rows = rows.select(*kept, F.array_sort(F.concat(*strict, *wide)).alias("pii_all"))
+    # a candidate that touches no base span: none that begins before reaches it, none after begins inside
+    rows = _before(rows, "pii_all", lambda s: F.when(s["base"], s["end"]).otherwise(-1))
+    begins = F.transform("pii_all", lambda s: F.when(s["base"], s["start"]).otherwise(_FAR))
+    rows = _running(rows, "pii_begin", F.reverse(begins), _FAR, F.least)
+    free = F.zip_with(F.zip_with("pii_all", "pii_reach", lambda s, at: s["start"] >= at), F.zip_with("pii_all", F.reverse("pii_begin"), lambda s, at: s["end"] <= at), lambda x, y: x & y)
+    return rows.select(key, "text", _those(F.col("pii_all"), free).alias("spans"))
+
+
+_FAR = (1 << 31) - 1
+
+
+def _those(spans: Column, free: Column) -> Column:
+    """Base spans, and of the others those that are free."""
+    held = F.zip_with(spans, free, lambda s, ok: F.when(s["base"] | ok, s))
+    return F.filter(held, lambda s: s.isNotNull())
+
+
+def _before(rows: DataFrame, spans: str, end: Callable[[Column], Column]) -> DataFrame:
+    """rows with pii_reach: for each span the greatest of end(span) over the spans before it, 0 for the first."""
+    rows = _running(rows, "pii_reach", F.transform(spans, end), 0, F.greatest)
+    return rows.withColumn("pii_reach", F.slice(F.concat(F.array(F.lit(0)), "pii_reach"), 1, F.size(spans)))
 
 
 def _keeps(kind: str):
@@ -136,7 +176,8 @@ class Model:
 
 def fit(found: DataFrame, rounds: int = ROUNDS) -> Model:
     """Estimates and trains from the votes of all candidates (column spans)."""
-    spans = found.select(F.explode("spans").alias("s")).select("s.kind", *[f"s.{x}" for x in LABELERS])
+    lean = F.transform("spans", lambda s: F.struct(*[s[x].alias(x) for x in ("kind", *LABELERS)]))
+    spans = found.select(F.inline(lean))
     votes = staged(spans.groupBy("kind", *LABELERS).agg(F.count("*").alias("n")).coalesce(1))
     if not votes.count():
         return Model()
@@ -174,14 +215,12 @@ def fit(found: DataFrame, rounds: int = ROUNDS) -> Model:
 
 
 def accepted(found: DataFrame, model: Model) -> DataFrame:
-    """found with only the spans that the classifier accepts, by start and kind; added ones never touch each other."""
+    """found with only the spans that the classifier accepts, by start and kind; added ones never touch each other: the
+    one that begins first stays."""
     kept = found.withColumn("spans", F.filter("spans", model.accepts))
-
-    def first(s: Column) -> Column:
-        clash = F.exists("spans", lambda o: ~o["base"] & (o["start"] < s["end"]) & (s["start"] < o["end"]) & (F.struct(o["kind"], o["start"]) < F.struct(s["kind"], s["start"])))
-        return s["base"] | ~clash
-
-    return kept.withColumn("spans", F.filter("spans", first))
+    kept = _before(kept, "spans", lambda s: F.when(s["base"], -1).otherwise(s["end"]))
+    free = F.zip_with("spans", "pii_reach", lambda s, at: s["start"] >= at)
+    return kept.withColumn("spans", _those(F.col("spans"), free)).drop("pii_reach")
 
 
 def _named(spans: Column) -> Column:
@@ -212,13 +251,18 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     spans = accepted(_candidates_of(texts, key), model)
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
-    def cut(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.element_at(tags, s["kind"] + 1))
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), piece.alias("out"))).otherwise(
-            F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        )
+    # the text in blocks, so that a piece between two spans is cut out of few of them and not from the text's beginning
+    spans = spans.withColumn("pii_blocks", F.when(F.size("spans") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))))
+    spans = _before(spans, "spans", lambda s: s["end"])
+
+    def piece(start: Column, end: Column) -> Column:
+        first = F.floor(start / CUT).cast("int")
+        held = F.array_join(F.slice("pii_blocks", first + 1, F.floor(end / CUT).cast("int") - first + 1), "")
+        return F.substring(held, start - first * CUT + 1, end - start)
 
-    rest = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
+    shown = F.zip_with("spans", "pii_reach", lambda s, at: F.when(s["start"] >= at, F.concat(piece(at, s["start"]), F.element_at(tags, s["kind"] + 1))).otherwise(""))
+    last = F.array_max(F.transform("spans", lambda s: s["end"]))
+    rest = F.concat(F.array_join(shown, ""), piece(last, F.char_length("text")))
     clean = spans.withColumn("clean", F.when(F.size("spans") > 0, rest).otherwise(F.col("text")))
     out = []
     for c in columns:
