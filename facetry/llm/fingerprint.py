@@ -46,6 +46,11 @@ def sketch(text: str | None, words: int = WORDS, scale: int = SCALE) -> np.ndarr
     return np.unique(out[out <= np.uint64((1 << 64) // scale - 1)])
 
 
+def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sketch of the union of two shingle sets; exact, as both retain the hashes below one threshold."""
+    return np.union1d(a, b)
+
+
 def shown(s: np.ndarray) -> str:
     return ",".join(f"{x:x}" for x in s.tolist())
 

@@ -82,10 +82,12 @@ def scan_licenses(
         meets = meets | band.isin(own)
     cut = cut.where(meets).select("doc_id", F.posexplode(F.array(*_bands())).alias("band", "least"))
     met = staged(cut.join(F.broadcast(bands), ["band", "least"]).select("doc_id", "template").distinct())
-    found = met.join(F.broadcast(known), "template").groupBy("doc_id").agg(F.collect_list(F.struct("license", "wanted")).alias("found"))
-    few = met.count() <= BROADCAST_ROWS // 20
+    # the met (doc_id, template) pairs are narrow; a template's shingles come in by its number, never once a document
+    found = met.groupBy("doc_id").agg(F.collect_set("template").alias("found"))
+    few = met.count() <= BROADCAST_ROWS
     own = shingled(rows.join(F.broadcast(found) if few else found, "doc_id"), "doc_id", "found")
-    own = own.select("doc_id", "s", F.explode("found").alias("f")).select("doc_id", "s", "f.license", "f.wanted", F.size("f.wanted").alias("n"))
+    own = own.select("doc_id", "s", F.explode("found").alias("template")).join(F.broadcast(known), "template")
+    own = own.select("doc_id", "s", "license", "wanted", F.size("wanted").alias("n"))
     hits = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.array_contains("wanted", F.get("s", i)))
     shares = F.transform(hits, lambda i: F.size(F.array_intersect(F.slice("s", F.greatest(i - F.col("n"), F.lit(0)) + 1, 2 * F.col("n") + 2), "wanted")))
     best = own.select("doc_id", "license", F.array_max(shares).alias("most"), F.array_min(hits).alias("at"), F.size(F.array_distinct("wanted")).alias("of"))

@@ -6,8 +6,8 @@ if it is stable and minus infinity if not, and a max-plus (here 0 or minus infin
 than `giant` characters are cut into chunks anywhere, even inside a word. The states at a boundary are the pieces
 that cover its last character; each chunk's task, not knowing what came before, computes the transfer matrix from
 every possible entry state to the exit states. The matrices of a document are few and sparse; they are combined by an
-associative max-plus product, which gives each chunk its entry and exit state, and each chunk is then traced back by
-itself. Shorter documents are encoded whole by the library in one map.
+associative max-plus product, first within blocks of `BLOCK` chunks, then over the blocks of a document; that gives
+each block and then each chunk its entry and exit state, and each chunk is traced back by itself. Shorter documents are encoded whole by the library in one map.
 
 Defined cases: a null or empty text has no ids; characters outside the vocabulary become byte pieces; white space is
 kept as the model does; repeated rows are encoded each; an empty table gives an empty result.
@@ -16,6 +16,7 @@ kept as the model does; repeated rows are encoded each; an empty table gives an
 from __future__ import annotations
 
 import functools
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import staged, text_or_empty
 
 GIANT, CHUNK = 65_536, 8_192
+#: Chunks whose matrices are multiplied together first, and chunks of one task.
+BLOCK, TASK = 64, 4
 _BLANK = "▁"
 
 
@@ -122,6 +125,23 @@ def transfer(l: Lattice, text: str, begin: int, end: int, base: int, first: bool
     return {shift(s): {shift(x): 0 for x in l.paths(text, s, end)[1]} for s in states}
 
 
+def _states(b: pd.DataFrame, first: tuple | None, last: tuple | None) -> list[tuple]:
+    """Entry and exit of each of the rows' matrices, in order, on a best path from state first to state last (the
+    text's end where it is None): products of the prefixes from the left, then one step back at a time."""
+    each = [pickle.loads(m) for m in b["matrix"]]
+    reached, prefix = [], {first: {first: 0}}
+    for m in each:
+        prefix = product(prefix, m)
+        reached.append(set(prefix[first]))
+    state = last or next(x for x in reached[-1] if x[1] == int(b["length"].iloc[-1]))
+    out = []
+    for n in range(len(each) - 1, -1, -1):
+        entry = first if n == 0 else next(s for s in reached[n - 1] if state in each[n].get(s, ()))
+        out.append((entry, state))
+        state = entry
+    return out[::-1]
+
+
 def _chunks(b: pd.DataFrame, longest: int, chunk: int) -> Iterator[tuple]:
     for key, row, text in zip(b["doc_id"], b["row"], b["text"], strict=True):
         whole = _BLANK + text.replace(" ", _BLANK)
@@ -149,36 +169,32 @@ def encode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            made = [repr(transfer(lattice(model_path), t, s, e, base, i == 0)) for t, s, e, base, i in zip(b["text"], b["begin"], b["end"], b["base"], b["i"], strict=True)]
-            yield b.drop(columns="text").assign(matrix=made)
+            made = [pickle.dumps(transfer(lattice(model_path), t, s, e, base, i == 0)) for t, s, e, base, i in zip(b["text"], b["begin"], b["end"], b["base"], b["i"], strict=True)]
+            yield b[["row", "i"]].assign(length=b["base"] + b["end"], matrix=made)
+
+    def block(b: pd.DataFrame) -> pd.DataFrame:
+        """The product of a block's matrices."""
+        b = b.sort_values("i")
+        whole = functools.reduce(product, map(pickle.loads, b["matrix"]))
+        return pd.DataFrame({"row": b["row"].iloc[:1], "block": b["i"].iloc[:1] // BLOCK, "length": b["length"].max(), "matrix": [pickle.dumps(whole)]})
 
-    def scan(b: pd.DataFrame) -> pd.DataFrame:
-        """Each chunk's exit state: products of the prefixes from the left, then one step back at a time."""
-        import ast
+    def over_blocks(b: pd.DataFrame) -> pd.DataFrame:
+        """Each block's entry and exit state in its document."""
+        b = b.sort_values("block")
+        return pd.DataFrame([(r, n, pickle.dumps(x)) for r, n, x in zip(b["row"], b["block"], _states(b, None, None), strict=True)], columns=["row", "block", "states"])
 
+    def within_block(b: pd.DataFrame) -> pd.DataFrame:
+        """Each chunk's entry and exit state, from its block's."""
         b = b.sort_values("i")
-        each = [ast.literal_eval(m) for m in b["matrix"]]
-        length = int((b["base"] + b["end"]).iloc[-1])
-        reached, prefix = [], {None: {None: 0}}
-        for m in each:
-            prefix = product(prefix, m)
-            reached.append(set(prefix[None]))
-        state = next(x for x in reached[-1] if x[1] == length)
-        out = []
-        for n in range(len(each) - 1, -1, -1):
-            entry = None if n == 0 else next(s for s in reached[n - 1] if state in each[n].get(s, ()))
-            out.append((b["doc_id"].iloc[n], b["row"].iloc[n], b["i"].iloc[n], str(entry), str(state)))
-            state = entry
-        return pd.DataFrame(out, columns=["doc_id", "row", "i", "entry", "exit"])
+        first, last = pickle.loads(b["states"].iloc[0])
+        return pd.DataFrame([(r, n, pickle.dumps(x)) for r, n, x in zip(b["row"], b["i"], _states(b, first, last), strict=True)], columns=["row", "i", "states"])
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ast
-
         for b in batches:
             out = []
-            for key, row, i, base, end, text, entry, final in zip(*(b[c] for c in ("doc_id", "row", "i", "base", "end", "text", "entry", "exit")), strict=True):
+            for key, row, i, base, end, text, states in zip(*(b[c] for c in ("doc_id", "row", "i", "base", "end", "text", "states")), strict=True):
                 l = lattice(model_path)  # noqa: E741
-                start, at = ((x and (x[0] - base, x[1] - base)) for x in map(ast.literal_eval, (entry, final)))
+                start, at = ((x and (x[0] - base, x[1] - base)) for x in pickle.loads(states))
                 before, pieces = l.paths(text, start, end)[0], []
                 while at != start:
                     pieces.append(text[at[0] : at[1]])
@@ -190,10 +206,16 @@ def encode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id
     done = rows.where(~large).mapInPandas(small, "doc_id long, ids array<int>")
     if not n_giant:
         return done
-    chunks = staged(rows.where(large).withColumn("row", F.monotonically_increasing_id()).mapInPandas(cut, "doc_id long, row long, i int, base long, begin int, end int, text string").repartition("row", "i"))
-    made = chunks.repartition("row", "i").mapInPandas(matrices, "doc_id long, row long, i int, base long, begin int, end int, matrix string")
-    states = made.groupBy("row").applyInPandas(scan, "doc_id long, row long, i int, entry string, exit string").drop("doc_id")
-    traced = chunks.join(states, ["row", "i"]).mapInPandas(trace, "doc_id long, row long, i int, ids array<int>")
+    chunks = staged(rows.where(large).withColumn("row", F.monotonically_increasing_id()).mapInPandas(cut, "doc_id long, row long, i int, base long, begin int, end int, text string"))
+    tasks = max(1, -(-chunks.count() // TASK))
+    spread = chunks.repartition(tasks, "row", "i")
+    made = staged(spread.mapInPandas(matrices, "row long, i int, length long, matrix binary"))
+    by_block = made.groupBy("row", F.floor(F.col("i") / BLOCK).alias("n"))
+    blocks = by_block.applyInPandas(block, "row long, block int, length long, matrix binary")
+    entered = blocks.groupBy("row").applyInPandas(over_blocks, "row long, block int, states binary")
+    states = made.withColumn("block", F.floor(F.col("i") / BLOCK).cast("int")).join(entered, ["row", "block"])
+    states = staged(states.groupBy("row", "block").applyInPandas(within_block, "row long, i int, states binary"))
+    traced = spread.join(states, ["row", "i"]).repartition(tasks, "row", "i").mapInPandas(trace, "doc_id long, row long, i int, ids array<int>")
     joined = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("all"))
     return done.unionByName(joined.select("doc_id", F.flatten("all.ids").alias("ids")))
 

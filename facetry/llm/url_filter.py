@@ -5,7 +5,9 @@ Each url offers a few keys, one per host suffix with as many labels as some rule
 some rule's path; a rule fits exactly when its key is among them. The listed keys are encoded in level 0; the keys
 of the corpus that pass it without being listed are encoded in level 1, the listed keys that pass level 1 in level
 2, and so on until a level lets nothing wrong through. Membership is then exact over the corpus's complete key
-universe and is read from a few filters of bounded size; no table is joined to the urls.
+universe and is read from a few filters of bounded size; no table is joined to the urls. Where a level would be larger
+than `most_bits`, the keys are dealt by their hash into as many parts as needed, each with a cascade of its own, and the
+parts judge the urls one after another, so that no task ever holds more than one part's filters.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and takes the default; a url with no
 rule is allowed; among fitting rules the longest host + path wins, then the longer host; a rule listed both ways
@@ -30,8 +32,8 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Bits per key, hashes per key, and the largest level: 64 MB.
-BITS, HASHES, MOST_BITS = 12, 6, 1 << 29
+#: Bits per key, hashes per key, and the largest level: 8 MB.
+BITS, HASHES, MOST_BITS = 12, 6, 1 << 26
 
 
 def host_path(url: str) -> tuple[Column, Column]:
@@ -51,11 +53,15 @@ def _spots(key: Column, level: int, bits: int) -> list[Column]:
     return [F.pmod(a + b * F.lit(i), F.lit(bits)) for i in range(HASHES)]
 
 
-def _level(keys: DataFrame, level: int, n: int) -> tuple[Column, int]:
+class TooLarge(Exception):
+    """A level needs more than the largest filter."""
+
+
+def _level(keys: DataFrame, level: int, n: int, most_bits: int) -> tuple[Column, int]:
     """A Bloom filter over n keys as one array of 63-bit words."""
     bits = 63 * max(2, math.ceil(n * BITS / 63))
-    if bits > MOST_BITS:
-        raise ValueError(f"{n} keys need a filter of {bits} bits; split the list by host")
+    if bits > most_bits:
+        raise TooLarge
     spots = keys.select(F.explode(F.array(*_spots(F.col("key"), level, bits))).alias("s"))
     words = spots.groupBy(F.floor(F.col("s") / 63).cast("int").alias("w")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 63).cast("int"))).alias("v")
@@ -70,13 +76,13 @@ def _level(keys: DataFrame, level: int, n: int) -> tuple[Column, int]:
 class Cascade:
     """Exact membership of the listed keys within a universe of keys."""
 
-    def __init__(self, name: str, listed: DataFrame, universe: DataFrame):
+    def __init__(self, name: str, listed: DataFrame, universe: DataFrame, most_bits: int = MOST_BITS):
         """listed, universe: one string column named key. Only keys of the universe that pass level 0 are shuffled."""
         self.name, self.levels = name, []
         listed = staged(listed.distinct())
         if not (n := listed.count()):
             return
-        self.levels.append(_level(listed, 0, n))
+        self.levels.append(_level(listed, 0, n, most_bits))
         passing = self._passing(universe, 0).distinct()
         tagged = listed.select("key", F.lit(1).alias("tag")).unionByName(passing.select("key", F.lit(0).alias("tag")))
         known = staged(tagged.groupBy("key").agg((F.max("tag") == 1).alias("listed")))
@@ -84,7 +90,7 @@ class Cascade:
         right = known.where("listed").select("key")
         while n := wrong.count():
             level = len(self.levels)
-            self.levels.append(_level(wrong, level, n))
+            self.levels.append(_level(wrong, level, n, most_bits))
             wrong, right = staged(self._passing(right, level)), wrong
 
     def _passing(self, keys: DataFrame, level: int) -> DataFrame:
@@ -113,7 +119,35 @@ class Cascade:
         return out
 
 
-def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def _part(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(parts))
+
+
+def cascades(name: str, listed: DataFrame, universe: DataFrame, most_bits: int = MOST_BITS) -> list[Cascade]:
+    """One cascade for each part of the keys; as many parts as keep every level within most_bits."""
+    parts = 1
+    while True:
+        own = lambda keys, i: keys if parts == 1 else keys.where(_part(F.col("key"), parts) == i)  # noqa: B023, E731
+        try:
+            return [Cascade(name, own(listed, i), own(universe, i), most_bits) for i in range(parts)]
+        except TooLarge:
+            parts *= 2
+
+
+def marked(df: DataFrame, names: list[str], verdict: str, each: list[Cascade]) -> DataFrame:
+    """df with the verdict in column v<name> of every key column whose key is listed and that has none yet."""
+    for i, cascade in enumerate(each):
+        found = [F.coalesce(f"v{k}", F.when(((_part(F.col(k), len(each)) == i) if len(each) > 1 else F.lit(True)) & cascade.contains(F.col(k)), verdict)).alias(f"v{k}") for k in names]
+        rest = [c for c in df.columns if c not in {f"v{k}" for k in names}]
+        df = cascade.attached(df).select(*rest, *found)
+        if len(each) > 1:
+            df = staged(df)
+    return df
+
+
+def url_filter(
+    pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", most_bits: int = MOST_BITS
+) -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict."""
     spark = pages.sparkSession
     host, path = host_path("url")
@@ -128,9 +162,9 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     names = [f"k{i}" for i in range(len(keys))]
     universe = offered.select(F.explode(F.array_compact(F.array(*names))).alias("key"))
     listed = spark.createDataFrame([(v, h + p) for v, h, p in rules], "verdict string, key string")
-    blocked = Cascade("block", listed.where("verdict = 'block'").select("key"), universe)
-    allowed = Cascade("allow", listed.where("verdict = 'allow'").select("key"), universe)
-    judged = allowed.attached(blocked.attached(offered)).select("page_id", "host", "path", *names, *[F.when(blocked.contains(F.col(k)), "block").when(allowed.contains(F.col(k)), "allow").alias(f"v{k}") for k in names])
+    judged = offered.select("*", *[F.lit(None).cast("string").alias(f"v{k}") for k in names])
+    for verdict in ("block", "allow"):
+        judged = marked(judged, names, verdict, cascades(verdict, listed.where(F.col("verdict") == verdict).select("key"), universe, most_bits))
     fits = [
         F.when(F.col(f"v{k}").isNotNull(), F.struct(F.char_length(k).alias("length"), (F.char_length(k) - m).alias("host_length"), F.col(k).alias("key"), F.col(f"v{k}").alias("verdict")))
         for k, (_, m) in zip(names, shapes, strict=True)

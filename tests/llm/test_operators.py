@@ -198,6 +198,48 @@ def test_pii(docs, empty):
     assert pii.redacted(docs).columns == docs.columns
 
 
+def test_pii_of_a_text_with_many_spans(spark):
+    """Places, overlaps and redaction beyond one block of spans and one block of characters."""
+    parts = []
+    for i in range(700):
+        parts += [f"u{i}@mail{i}.example.org", "é漢 " * (i % 7), f"10.0.{i % 256}.{i % 300}", "x" * (i * 3 % 90), "4111 1111 1111 1111 " * (i % 2)]
+    text = " ".join(parts)
+    spans = [(m.start(), m.end()) for m in re.finditer(pii.STRICT["email"][1].replace(r"\G|", ""), text)]
+    row = pii.find_pii(spark.createDataFrame([(1, text, 0)], "doc_id long, text string, n_chars long")).first()
+    assert row.n_email == len(spans) == 700 and {f"email:{a}:{b}" for a, b in spans} <= set(row.spans.split(","))
+    found = sorted((int(a), int(b), k.upper()) for k, a, b in (x.split(":") for x in row.spans.split(",")))
+    out, at = [], 0
+    for a, b, kind in found:
+        if a >= at:
+            out += [text[at:a], f"[{kind}]"]
+        at = max(at, b)
+    clean = pii.redacted(spark.createDataFrame([(1, text, 0)], "doc_id long, text string, n_chars long")).first()
+    assert clean.text == "".join(out) + text[at:] and clean.n_chars == len(clean.text)
+
+
+def test_pii_estimates_reliabilities(spark):
+    """The counted votes give what expectation-maximisation over every single candidate gives."""
+    rnd = random.Random(5)
+    votes = []
+    for _ in range(400):
+        true = rnd.random() < 0.4
+        votes.append((0, *[rnd.choice([0, 1 if (rnd.random() < q) == true else -1]) for q in (0.95, 0.9, 0.7, 0.6, 0.55)]))
+    rows = spark.createDataFrame([([v],) for v in votes], "spans array<struct<kind:int,strict:int,check:int,known:int,cue:int,edge:int>>")
+    model = pii.fit(rows, rounds=4)
+    p = [1 / (1 + np.exp(-sum(v[1:]))) for v in votes]
+    for _ in range(4):
+        yes, no = sum(p), len(p) - sum(p)
+        odds = [np.log((yes + 1) / (no + 1))] * len(votes)
+        right = {}
+        for j, name in enumerate(pii.LABELERS, 1):
+            n = {(v, y): 1 + sum(q if y else 1 - q for q, w in zip(p, votes) if w[j] == v) for v in (-1, 1) for y in (0, 1)}
+            all_yes, all_no = n[-1, 1] + n[1, 1], n[-1, 0] + n[1, 0]
+            odds = [o + (np.log(n[w[j], 1] / all_yes * all_no / n[w[j], 0]) if w[j] else 0.0) for o, w in zip(odds, votes)]
+            right[0, name] = (n[1, 1] + n[-1, 0]) / (all_yes + all_no)
+        p = [1 / (1 + np.exp(-o)) for o in odds]
+    assert model.accuracy == pytest.approx(right)
+
+
 def test_license_scan(docs, empty):
     got = {(r.doc_id, r.license) for r in license_scan.scan_licenses(docs).collect()}
     assert got == {(121, "MIT"), (121, "Apache-2.0")}
@@ -257,6 +299,70 @@ def test_bin_completion_beats_best_fit():
         assert all(sum(f) <= 50 for f in got) and len(got) <= len(packing.best_fit(counts, 50))
 
 
+def test_bin_completion_is_exact_on_small_tasks():
+    """Against trying all ways; and the fillings offered are all the undominated ones."""
+    rnd = random.Random(1)
+
+    def fewest(items, length):
+        best = [len(items)]
+
+        def put(i, bins):
+            if len(bins) < best[0]:
+                if i == len(items):
+                    best[0] = len(bins)
+                    return
+                for k in range(len(bins)):
+                    if bins[k] + items[i] <= length and bins[k] not in bins[:k]:
+                        put(i + 1, [*bins[:k], bins[k] + items[i], *bins[k + 1 :]])
+                put(i + 1, [*bins, items[i]])
+
+        put(0, [])
+        return best[0]
+
+    for _ in range(120):
+        length = rnd.choice([10, 20, 50])
+        items = sorted((rnd.randrange(1, length * 2 // 3) for _ in range(rnd.randrange(1, 10))), reverse=True)
+        counts = {x: items.count(x) for x in items}
+        got = packing.pack(counts, length, nodes=10_000)
+        assert sorted((x for f in got for x in f), reverse=True) == items and all(sum(f) <= length for f in got)
+        assert len(got) == fewest(items, length)
+        left = packing._Counts(counts, length)
+        offered = [tuple(sorted(f)) for f in packing.completions(left, length, packing._Budget(100_000))]
+        ways = {tuple(sorted(x for x, take in zip(items, f"{m:0{len(items)}b}", strict=True) if take == "1")) for m in range(1 << len(items))}
+        ways = {w for w in ways if sum(w) <= length}
+        kept = set()
+        for w in ways:
+            for x in w:
+                left.take(x)
+            if not packing.dominated(left, w, length - sum(w)):
+                kept.add(w)
+            for x in w:
+                left.put(x)
+        assert len(offered) == len(set(offered)) and set(offered) == kept
+        assert left.n == counts
+
+
+def test_fingerprints_by_whole_shingle_sets(docs):
+    """Independent of the operator's hashes: likeness is the Jaccard similarity of the five-word shingle sets."""
+    text = {i: t or "" for i, t, *_ in TEXTS}
+    ids = sorted(text)
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    def jaccard(a, b):
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for r in fingerprint.edits_and_neighbours(docs).collect():
+        own, after = text[r.doc_id], text[ids[(ids.index(r.doc_id) + 1) % len(ids)]]
+        half = len(own) // 2
+        assert r.near_edited == jaccard(shingles(own), shingles(own[: len(own) - half] + after[:half])) and r.near_next == jaccard(shingles(own), shingles(after))
+    a, b = text[5], text[8]
+    joined = fingerprint.merged(fingerprint.sketch(a, scale=4), fingerprint.sketch(b, scale=4))
+    assert set(joined.tolist()) == set(fingerprint.sketch(a, scale=4).tolist()) | set(fingerprint.sketch(b, scale=4).tolist())
+
+
 def test_fingerprints(docs, empty):
     ids = sorted(i for i, *_ in TEXTS)
     text = {i: t or "" for i, t, *_ in TEXTS}
@@ -305,6 +411,9 @@ def test_cascade_is_exact_over_its_universe(spark, monkeypatch):
     universe = spark.range(3000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
     cascade = url_filter.Cascade("c", listed, universe)
     got = {r.key for r in cascade.attached(universe).where(cascade.contains(F.col("key"))).collect()}
+    parts = url_filter.cascades("c", listed, universe, 1 << 8)
+    named = universe.withColumn("a", F.col("key")).withColumn("va", F.lit(None).cast("string"))
+    assert len(parts) > 1 and {r.key for r in url_filter.marked(named, ["a"], "x", parts).where("va = 'x'").collect()} == got
     assert len(cascade.levels) > 2 and got == {f"k{i * 7}" for i in range(300)}
 
 
