@@ -103,6 +103,14 @@ def only_kept(docs: DataFrame, kept: Callable[[DataFrame, str], DataFrame], limi
     return rows.join(F.broadcast(gone) if gone.count() <= limit else gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """At most so many rows in a batch that goes to a Python worker: texts are long, and what a worker holds is a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, rows)
+
+
 def text_or_empty(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 

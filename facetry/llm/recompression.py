@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import BROADCAST_ROWS, joined_to_counted, release, staged, text_or_empty
+from .common import BROADCAST_ROWS, joined_to_counted, release, small_batches, staged, text_or_empty
 
 WINDOW, ROUNDS, PARTS = 13, 3, 8
-#: Texts that are parsed together.
-BATCH = 64
+#: Texts that are parsed together, and their bytes, which bound a worker's memory (one longer text goes alone).
+BATCH, BYTES = 64, 1 << 19
 _LAST = (1 << 63) - 1
 #: Two odd bases of the windows' names, and their inverses.
 _BASES = (0xD1342543DE82EF95, 0x9FB21C651E98DF25)
@@ -191,9 +191,16 @@ def tops(texts: list[str]) -> list[tuple[int, int]]:
 
 
 def _in_batches(b: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list]]:
-    for first in range(0, len(b), BATCH):
-        some = b.iloc[first : first + BATCH]
-        yield some, [zstandard.decompress(x).decode("utf-8", "surrogatepass") if isinstance(x, bytes) else x for x in some["text"]]
+    first, size, texts = 0, 0, []
+    for n, x in enumerate(b["text"]):
+        text = zstandard.decompress(x).decode("utf-8", "surrogatepass") if isinstance(x, bytes) else x
+        if texts and (len(texts) == BATCH or size + len(text) > BYTES):
+            yield b.iloc[first:n], texts
+            first, size, texts = n, 0, []
+        texts.append(text)
+        size += len(text)
+    if texts:
+        yield b.iloc[first:], texts
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,6 +212,7 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by spaces)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("mark"), "text")
 
