@@ -1,12 +1,14 @@
-"""Paths through feasible poses: continuous side signs, layered shortest paths, coverage bounds, metrics."""
+"""Paths through feasible poses: continuous side signs, layered shortest paths, coverage paths, metrics."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from itertools import pairwise
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
@@ -52,35 +54,39 @@ def layered(nodes: DataFrame) -> DataFrame:
 
 
 class _Unit:
-    """A stretch of layers: the nodes of its first and of its last layer (rows of candidate_index, x, y, z) and the
-    least cost of a way between each of the ones and each of the others."""
+    """A stretch of layers: the nodes of its first and of its last layer (rows of candidate_index, x, y, z and more) and
+    the least cost of a way between each of the ones and each of the others."""
 
     def __init__(self, head: np.ndarray, tail: np.ndarray, costs: np.ndarray):
         self.head, self.tail, self.costs = head, tail, costs
 
 
-def _steps(a: _Unit, b: _Unit) -> np.ndarray:
-    d = a.tail[:, None, 1:] - b.head[None, :, 1:]
+Steps = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _steps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cost of a step from each of the nodes a to each of b."""
+    d = a[:, None, 1:4] - b[None, :, 1:4]
     return np.sqrt((d * d).sum(2))
 
 
 def _through(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Min-plus product."""
-    return (a[:, :, None] + b[None]).min(1)
+    """Min-plus product, one column at a time."""
+    return np.stack([(a + column).min(1) for column in b.T], axis=1)
 
 
-def _joined(units: list[_Unit]) -> _Unit:
+def _joined(units: list[_Unit], steps: Steps = _steps) -> _Unit:
     costs = units[0].costs
     for a, b in pairwise(units):
-        costs = _through(_through(costs, _steps(a, b)), b.costs)
+        costs = _through(_through(costs, steps(a.tail, b.head)), b.costs)
     return _Unit(units[0].head, units[-1].tail, costs)
 
 
-def _traced(units: list[_Unit], first: int, last: int) -> list[tuple[int, int]]:
+def _traced(units: list[_Unit], first: int, last: int, steps: Steps = _steps) -> list[tuple[int, int]]:
     """The best way from a node of the first layer to one of the last: where it enters and leaves each unit."""
     reached, back = units[0].costs[first], []
     for a, b in pairwise(units):
-        ends = reached[:, None] + _steps(a, b)
+        ends = reached[:, None] + steps(a.tail, b.head)
         inner = ends.min(0)[:, None] + b.costs
         back.append((ends.argmin(0), inner.argmin(0)))
         reached = inner.min(0)
@@ -92,44 +98,99 @@ def _traced(units: list[_Unit], first: int, last: int) -> list[tuple[int, int]]:
     return [(first, leave), *reversed(out)]
 
 
-def _layers(rows: pd.DataFrame) -> tuple[list[int], list[_Unit]]:
-    rows = rows.sort_values(["seq", "candidate_index"])
-    seqs, units = [], []
-    for seq, layer in rows.groupby("seq", sort=True):
-        own = layer[["candidate_index", "x", "y", "z"]].to_numpy(float)
-        seqs.append(int(seq))
-        units.append(_Unit(own, own, np.where(np.eye(len(own), dtype=bool), 0.0, np.inf)))
-    return seqs, units
-
-
-def _read(rows: pd.DataFrame) -> list[_Unit]:
-    four = [[np.frombuffer(x).reshape(-1, 4) for x in rows[c]] for c in ("head", "tail")]
-    return [_Unit(h, t, np.frombuffer(c).reshape(len(h), len(t))) for h, t, c in zip(*four, rows["costs"], strict=True)]
+def _read(rows: pd.DataFrame, wide: int) -> list[_Unit]:
+    ends = [[np.frombuffer(x).reshape(-1, wide) for x in rows[c]] for c in ("head", "tail")]
+    return [_Unit(h, t, np.frombuffer(c).reshape(len(h), len(t))) for h, t, c in zip(*ends, rows["costs"], strict=True)]
 
 
 def _row(key: tuple, layers: int, unit: _Unit) -> pd.DataFrame:
-    row = (*map(int, key), layers, unit.head.tobytes(), unit.tail.tobytes(), np.ascontiguousarray(unit.costs).tobytes())
-    return pd.DataFrame([row], columns=[c.split()[0] for c in _UNIT.split(", ")])
-
-
-def chosen(nodes: DataFrame) -> DataFrame:
-    """The shortest way of `layered`, one row for each layer: branch_id, lateral_side, seq, candidate_index, cost (of the
-    whole way) and layers. Layers are those that have a node. Blocks of layers become min-plus matrices, which are
-    joined in rounds until a branch and side is one; the way is then traced back through the same rounds, so no
-    task holds more than `BLOCK` layers or matrices."""
-    keys = ["branch_id", "lateral_side"]
-    types = [F.col(k).cast("int").alias(k) for k in keys]
-    lean = shared(nodes.select(*types, *[F.col(c).cast("long").alias(c) for c in ("seq", "candidate_index")], "x", "y", "z"))
-    low = lean.agg(F.coalesce(F.min("seq"), F.lit(0))).first()[0]
-    lean = lean.withColumn("block", F.floor((F.col("seq") - low) / BLOCK).cast("long"))
+    parts = [np.ascontiguousarray(x, dtype=float).tobytes() for x in (unit.head, unit.tail, unit.costs)]
+    return pd.DataFrame([(*map(int, key), layers, *parts)], columns=[c.split()[0] for c in _UNIT.split(", ")])
+
+
+@dataclass
+class _Layered:
+    """One node of every layer; layers are those that have a node."""
+
+    columns: tuple[str, ...] = ("candidate_index", "x", "y", "z")
+    steps: Steps = _steps
+
+    def units(self, rows: pd.DataFrame) -> list[_Unit]:
+        return [_Unit(x, x, np.where(np.eye(len(x), dtype=bool), 0.0, np.inf)) for _, x in self._layers(rows)]
+
+    def _layers(self, rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        rows = rows.sort_values(["seq", "candidate_index"])
+        for seq, layer in rows.groupby("seq", sort=True):
+            yield int(seq), layer[list(self.columns)].to_numpy(float)
+
+    def ends(self, unit: _Unit) -> tuple[np.ndarray, np.ndarray]:
+        return np.ones(len(unit.head), bool), np.ones(len(unit.tail), bool)
+
+    def picked(self, rows: pd.DataFrame, enter: int, leave: int) -> list[tuple[int, int]]:
+        layers = list(self._layers(rows))
+        got = _traced(self.units(rows), enter, leave, self.steps)
+        return [(seq, int(x[a, 0])) for (seq, x), (a, _) in zip(layers, got, strict=True)]
+
+
+@dataclass
+class _Covering:
+    """Layers may be left out where the intervals of the chosen ones overlap. A block is as long as the longest step, so
+    a way goes from block to neighbouring block, and one unit holds all ways inside a block."""
+
+    reach: float
+    columns: tuple[str, ...] = ("candidate_index", "x", "y", "z", "seq", "arc_length", "left", "right", "slack", "first", "last")
+
+    def steps(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        costs, slack = _steps(a, b), a[:, None, 8]
+        forward = (b[None, :, 4] > a[:, None, 4]) & (b[None, :, 5] - a[:, None, 5] <= self.reach + slack)
+        over = (b[None, :, 6] <= a[:, None, 7] + slack) & (b[None, :, 7] > a[:, None, 7] + slack)
+        return np.where(forward & over, costs, np.inf)
+
+    def _nodes(self, rows: pd.DataFrame) -> np.ndarray:
+        return rows.sort_values(["seq", "candidate_index"])[list(self.columns)].to_numpy(float)
+
+    def _inside(self, nodes: np.ndarray, start: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Least costs from every node (or one) to every node, and the node before each on the ways from `start`."""
+        n, step = len(nodes), self.steps(nodes, nodes)
+        costs = np.where(np.eye(n, dtype=bool), 0.0, np.inf)[slice(None) if start is None else [start]]
+        before = np.full(n, -1)
+        for j in range(n):  # a step goes on in order of seq
+            ways = costs + step[:, j]
+            better = ways.min(1) < costs[:, j]
+            if start is not None and better[0]:
+                before[j] = int(ways[0].argmin())
+            costs[better, j] = ways.min(1)[better]
+        return costs, before
+
+    def units(self, rows: pd.DataFrame) -> list[_Unit]:
+        nodes = self._nodes(rows)
+        return [_Unit(nodes, nodes, self._inside(nodes)[0])]
+
+    def ends(self, unit: _Unit) -> tuple[np.ndarray, np.ndarray]:
+        return unit.head[:, 9] > 0, unit.tail[:, 10] > 0
+
+    def picked(self, rows: pd.DataFrame, enter: int, leave: int) -> list[tuple[int, int]]:
+        nodes = self._nodes(rows)
+        before, way = self._inside(nodes, enter)[1], [leave]
+        while way[-1] != enter:
+            way.append(int(before[way[-1]]))
+        return [(int(nodes[i, 4]), int(nodes[i, 0])) for i in reversed(way)]
+
+
+def _shortest(lean: DataFrame, rule: _Layered | _Covering) -> DataFrame:
+    """The shortest way through nodes (branch_id, lateral_side, block, seq and the rule's columns): branch_id,
+    lateral_side, seq, candidate_index, cost (of the whole way) and layers; no rows where there is no way. Blocks become
+    min-plus matrices, which are joined in rounds until a branch and side is one; the way is then traced back through
+    the same rounds, so no task holds more than one block of layers or `BLOCK` matrices."""
+    keys, wide, steps = ["branch_id", "lateral_side"], len(rule.columns), rule.steps
 
     def block(key, rows):
-        seqs, units = _layers(rows)
-        return _row(key, len(seqs), _joined(units))
+        units = rule.units(rows)
+        return _row(key, int(rows["seq"].nunique()), _joined(units, steps))
 
     def join(key, rows):
         rows = rows.sort_values("block")
-        return _row(key, int(rows["layers"].sum()), _joined(_read(rows)))
+        return _row(key, int(rows["layers"].sum()), _joined(_read(rows, wide), steps))
 
     rounds = [shared(lean.groupBy(*keys, "block").applyInPandas(block, _UNIT))]
     while rounds[-1].groupBy(*keys).count().where("count > 1").limit(1).count():
@@ -138,16 +199,22 @@ def chosen(nodes: DataFrame) -> DataFrame:
 
     def top(batches):
         for b in batches:
-            best = [np.unravel_index(u.costs.argmin(), u.costs.shape) for u in _read(b)]
-            out = b[[*keys, "block", "layers"]].assign(enter=[int(i) for i, _ in best], leave=[int(j) for _, j in best])
-            yield out.assign(cost=[float(u.costs.min()) for u in _read(b)])
+            out = []
+            for at, u in enumerate(_read(b, wide)):
+                head, tail = rule.ends(u)
+                costs = np.where(head[:, None] & tail[None], u.costs, np.inf)
+                i, j = np.unravel_index(costs.argmin(), costs.shape)
+                out.append((at, int(i), int(j), float(costs[i, j])))
+            got = pd.DataFrame(out, columns=["at", "enter", "leave", "cost"])
+            rows = pd.concat([b[[*keys, "block", "layers"]].reset_index(drop=True), got.drop(columns="at")], axis=1)
+            yield rows[np.isfinite(rows["cost"])]
 
     whole = "branch_id int, lateral_side int, block long, layers long, enter long, leave long, cost double"
     ways = rounds[-1].mapInPandas(top, whole)
 
     def trace(key, rows):
         rows = rows.sort_values("block")
-        got = _traced(_read(rows), int(rows["enter"].iloc[0]), int(rows["leave"].iloc[0]))
+        got = _traced(_read(rows, wide), int(rows["enter"].iloc[0]), int(rows["leave"].iloc[0]), steps)
         return rows[[*keys, "block", "total", "cost"]].rename(columns={"total": "layers"}).assign(enter=[a for a, _ in got], leave=[b for _, b in got])[[*keys, "block", "layers", "enter", "leave", "cost"]]
 
     above = lambda: ways.select(*keys, F.col("block").alias("up"), F.col("layers").alias("total"), "enter", "leave", "cost")
@@ -156,16 +223,85 @@ def chosen(nodes: DataFrame) -> DataFrame:
         ways = shared(both.groupBy(*keys, "up").applyInPandas(trace, whole))
 
     def pick(key, rows):
-        seqs, units = _layers(rows)
-        got = _traced(units, int(rows["enter"].iloc[0]), int(rows["leave"].iloc[0]))
-        ids = [int(u.head[a, 0]) for u, (a, _) in zip(units, got, strict=True)]
+        got = rule.picked(rows, int(rows["enter"].iloc[0]), int(rows["leave"].iloc[0]))
         one = rows.iloc[0]
-        return pd.DataFrame({"branch_id": int(key[0]), "lateral_side": int(key[1]), "seq": seqs, "candidate_index": ids, "cost": float(one["cost"]), "layers": int(one["total"])})
+        return pd.DataFrame({"branch_id": int(key[0]), "lateral_side": int(key[1]), "seq": [s for s, _ in got], "candidate_index": [c for _, c in got], "cost": float(one["cost"]), "layers": int(one["total"])})
 
     both = lean.withColumn("up", F.col("block")).join(above(), [*keys, "up"])
     return both.groupBy(*keys, "block").applyInPandas(pick, "branch_id int, lateral_side int, seq long, candidate_index long, cost double, layers long")
 
 
+def _typed(nodes: DataFrame) -> list[Column]:
+    return [*[F.col(k).cast("int").alias(k) for k in ("branch_id", "lateral_side")], *[F.col(c).cast("long").alias(c) for c in ("seq", "candidate_index")]]
+
+
+def chosen(nodes: DataFrame) -> DataFrame:
+    """The shortest way of `layered`, one row for each layer: branch_id, lateral_side, seq, candidate_index, cost (of the
+    whole way) and layers. Layers are those that have a node; `planned` refuses a side that lacks one."""
+    lean = shared(nodes.select(*_typed(nodes), "x", "y", "z"))
+    low = lean.agg(F.coalesce(F.min("seq"), F.lit(0))).first()[0]
+    return _shortest(lean.withColumn("block", F.floor((F.col("seq") - low) / BLOCK).cast("long")), _Layered())
+
+
+def side_layers(points: DataFrame, nodes: DataFrame) -> DataFrame:
+    """How many feasible nodes each point (point_index, branch_id, seq) has on either side, with zeros."""
+    both = points.select("point_index", F.col("branch_id").cast("int").alias("branch_id"), "seq", F.explode(F.array(F.lit(1), F.lit(-1))).alias("lateral_side"))
+    found = nodes.groupBy(F.col("branch_id").cast("int").alias("branch_id"), F.col("lateral_side").cast("int").alias("lateral_side"), "seq").agg(F.count("*").alias("nodes"))
+    return both.join(found, ["branch_id", "lateral_side", "seq"], "left").withColumn("nodes", F.coalesce("nodes", F.lit(0)))
+
+
+def _refused(points: DataFrame, nodes: DataFrame) -> DataFrame:
+    layers = side_layers(points, nodes)
+    return layers.groupBy("branch_id", "lateral_side").agg(F.count("*").alias("points"), F.count_if(F.col("nodes") == 0).alias("missing"))
+
+
+def planned(points: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Every branch and side: status (ok, or no_path where some point has no node on the side), points, missing and
+    cost of the shortest way that takes one node of every point."""
+    keys = ["branch_id", "lateral_side"]
+    sides_ = shared(_refused(points, nodes))
+    typed = nodes.withColumns({k: F.col(k).cast("int") for k in keys})
+    ways = chosen(typed.join(sides_.where("missing = 0").select(*keys), keys, "left_semi")).select(*keys, "cost").distinct()
+    return sides_.join(ways, keys, "left").select(*keys, F.when(F.col("missing") == 0, "ok").otherwise("no_path").alias("status"), "points", "missing", "cost")
+
+
+def covering(curve: DataFrame, nodes: DataFrame, half: float) -> DataFrame:
+    """The shortest way whose chosen points cover their branch, one row for each chosen node: branch_id, lateral_side,
+    seq, candidate_index, left, right, cost. A chosen point covers `half` of arc length to either side, but not beyond
+    the middle towards a point without a node; points in between may be left out. curve has branch_id, seq,
+    point_index, arc_length. Sides without such a way have no rows."""
+    if half <= 0:
+        raise ValueError("half > 0 is needed")
+    keys = ["branch_id", "lateral_side"]
+    layers = side_layers(curve, nodes).join(curve.select(F.col("branch_id").cast("int").alias("branch_id"), "seq", "arc_length"), ["branch_id", "seq"])
+    sided = shared(layers.select(*keys, "seq", "arc_length", (F.col("nodes") == 0).alias("missing")))
+    bounds = coverage_bounds(sided, half, keys)
+    total = F.max("arc_length").over(Window.partitionBy(*keys))
+    slack = F.greatest(F.lit(1.0), F.col("total")) * 1e-9
+    rows = bounds.withColumn("total", total).withColumn("slack", slack).where("NOT missing AND left <= right + slack")
+    rows = rows.withColumn("first", (F.col("left") <= F.col("slack")).cast("double")).withColumn("last", (F.col("right") >= F.col("total") - F.col("slack")).cast("double"))
+    length = 2 * half * (1 + 1e-6)
+    block = F.least(F.floor(F.col("arc_length") / length), F.greatest(F.floor(F.col("total") / length) - 1, F.lit(0)))
+    rows = rows.select(*keys, "seq", "arc_length", "left", "right", "slack", "first", "last", block.cast("long").alias("block"))
+    lean = shared(nodes.select(*_typed(nodes), "x", "y", "z").join(rows, [*keys, "seq"]))
+    ways = _shortest(lean, _Covering(2 * half))
+    return ways.drop("layers").join(rows.select(*keys, "seq", "left", "right"), [*keys, "seq"]).select(*keys, "seq", "candidate_index", "left", "right", "cost")
+
+
+def covered(curve: DataFrame, way: DataFrame) -> DataFrame:
+    """Every branch and side: status, cost, chosen and skipped points, the widest gap between neighbouring intervals, and
+    whether they cover the branch from end to end. way is the result of `covering`."""
+    keys = ["branch_id", "lateral_side"]
+    ends = curve.groupBy(F.col("branch_id").cast("int").alias("branch_id")).agg(F.count("*").alias("points"), F.max("arc_length").alias("total"))
+    both = ends.withColumn("lateral_side", F.explode(F.array(F.lit(1), F.lit(-1))))
+    gap = F.greatest(F.lit(0.0), F.lead("left").over(Window.partitionBy(*keys).orderBy("seq")) - F.col("right"))
+    found = way.withColumn("gap", gap).groupBy(*keys).agg(F.first("cost").alias("cost"), F.count("*").alias("chosen"), F.coalesce(F.max("gap"), F.lit(0.0)).alias("gap"), F.min("left").alias("low"), F.max("right").alias("high"))
+    slack = F.greatest(F.lit(1.0), F.col("total")) * 1e-9
+    whole = (F.col("low") <= slack) & (F.col("high") >= F.col("total") - slack) & (F.col("gap") <= slack)
+    rows = both.join(found, keys, "left")
+    return rows.select(*keys, F.when(F.col("chosen").isNotNull(), "ok").otherwise("no_path").alias("status"), "cost", F.coalesce("chosen", F.lit(0)).alias("chosen"), (F.col("points") - F.coalesce("chosen", F.lit(0))).alias("skipped"), "gap", F.coalesce(whole, F.lit(False)).alias("union_ok"))
+
+
 def metrics(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """Length, longest segment and angle steps of ordered nodes (seq, x, y, z, angle)."""
     w = Window.partitionBy(*keys).orderBy("seq")
@@ -175,12 +311,15 @@ def metrics(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("nodes"), F.coalesce(F.sum("seg"), F.lit(0.0)).alias("length"), F.max("seg").alias("max_segment"), F.max("turn").alias("max_turn"), F.avg("turn").alias("mean_turn"))
 
 
-def coverage_bounds(curve: DataFrame, half: float) -> DataFrame:
-    """curve (branch_id, seq, arc_length, missing): [s - half, s + half] cut at the middle between the nearest missing
+def coverage_bounds(curve: DataFrame, half: float, keys: Sequence[str] = ("branch_id",)) -> DataFrame:
+    """curve (keys, seq, arc_length, missing): [s - half, s + half] cut at the middle between the nearest missing
     point and its neighbour on this point's side; without one at the branch's ends."""
-    rows = curve.withColumn("gap_left", (F.col("arc_length") + F.lead("arc_length").over(_branch())) / 2).withColumn("gap_right", (F.col("arc_length") + F.lag("arc_length").over(_branch())) / 2)
-    ahead = _branch().rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy("branch_id")
-    lo = F.coalesce(F.last(F.when(F.col("missing"), F.coalesce("gap_left", "arc_length")), ignorenulls=True).over(_so_far()), F.lit(0.0))
+    whole = Window.partitionBy(*keys)
+    order = whole.orderBy("seq")
+    rows = curve.withColumn("gap_left", (F.col("arc_length") + F.lead("arc_length").over(order)) / 2).withColumn("gap_right", (F.col("arc_length") + F.lag("arc_length").over(order)) / 2)
+    ahead = order.rowsBetween(0, Window.unboundedFollowing)
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    lo = F.coalesce(F.last(F.when(F.col("missing"), F.coalesce("gap_left", "arc_length")), ignorenulls=True).over(so_far), F.lit(0.0))
     hi = F.coalesce(F.first(F.when(F.col("missing"), F.coalesce("gap_right", "arc_length")), ignorenulls=True).over(ahead), F.max("arc_length").over(whole))
-    return rows.select("branch_id", "seq", "missing", F.greatest(F.col("arc_length") - half, lo).alias("left"), F.least(F.col("arc_length") + half, hi).alias("right"))
+    more = [] if list(keys) == ["branch_id"] else ["arc_length"]
+    return rows.select(*keys, "seq", "missing", *more, F.greatest(F.col("arc_length") - half, lo).alias("left"), F.least(F.col("arc_length") + half, hi).alias("right"))
