@@ -42,6 +42,7 @@ def staged(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back, so that later plans neither repeat its work nor depend
     on executors that may be lost. The table belongs to the `cleanup` around the call, if there is one."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/facetry/{uuid.uuid4().hex}"
     df.write.parquet(path)
     if (paths := _owner.get()) is not None:
@@ -104,7 +105,8 @@ def only_kept(docs: DataFrame, kept: Callable[[DataFrame, str], DataFrame], limi
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """At most so many rows in a batch that goes to a Python worker: texts are long, and what a worker holds is a batch."""
+    """At most so many rows in a batch that goes to a Python worker: texts are long, and what a worker holds is a batch.
+    Every operator of this package stages a table first and so sets it for its session."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(name, "10000"))
     if now <= 0 or now > rows:
