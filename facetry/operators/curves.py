@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Window
@@ -74,9 +76,14 @@ def gaps(points: DataFrame, factor: float = 8.0, least: float = 1e-8) -> DataFra
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """df written to the session's shared folder, which cuts its lineage."""
+    """df written to the session's shared folder, which cuts its lineage. Only a local session may leave it unset."""
     spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="facetry-")
+        spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where.rstrip('/')}/facetry/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +67,3 @@ def signed_volume(triangles: DataFrame) -> DataFrame:
 def boxes(triangles: DataFrame) -> DataFrame:
     """Bounding box of every face."""
     return triangles.select("face_id", *[f(f"a{a}", f"b{a}", f"c{a}").alias(f"{n}{a}") for n, f in (("lo", F.least), ("hi", F.greatest)) for a in "xyz"])
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

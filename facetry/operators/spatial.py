@@ -26,7 +26,10 @@ def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
 
 def nearest(left: DataFrame, right: DataFrame, key: str, ties: list[str], k: int = 1, radius: float = 0.05) -> DataFrame:
     """The k nearest right rows of every left row, with their rank. The radius doubles until every left row has k
-    neighbours within it, or all there are; rows that are done leave the search."""
+    neighbours within it, or all there are; rows that are done leave the search. Rows with a null coordinate are nobody's
+    neighbours; on the left they come out once, with nulls for neighbour, distance and rank."""
+    placed = lambda p: F.col(f"{p}x").isNotNull() & F.col(f"{p}y").isNotNull() & F.col(f"{p}z").isNotNull()
+    nowhere, left, right = left.where(~placed("")), left.where(placed("")), right.where(placed("q"))
     total, done, round_radius = right.count(), [], radius
     todo = _written(left)
     w = Window.partitionBy(key).orderBy("distance", *ties)
@@ -40,10 +43,10 @@ def nearest(left: DataFrame, right: DataFrame, key: str, ties: list[str], k: int
         if round_radius > widest:
             break
         round_radius *= 2
-    out = done[0]
+    out = done[0] if done else within(left, right, radius).withColumn("rank", F.lit(1)).where("false")
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    return out.unionByName(nowhere, allowMissingColumns=True)
 
 
 def overlapping(queries: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:

@@ -141,10 +141,8 @@ def branch_gaps(spark, d):
 
 @_query("""
 , un AS (SELECT a, b FROM g_edges UNION SELECT b, a FROM g_edges),
-cc AS (SELECT point_index AS vertex_id, point_index AS reached FROM g_points WHERE point_index < 60 UNION SELECT cc.vertex_id, un.b FROM cc JOIN un ON cc.reached = un.a),
-first AS (SELECT branch_id, min(point_index) AS component FROM g_points GROUP BY branch_id)
-SELECT p.point_index AS vertex_id, CASE WHEN p.point_index < 60 THEN (SELECT min(reached) FROM cc WHERE cc.vertex_id = p.point_index) ELSE f.component END AS component
-FROM g_points p JOIN first f USING (branch_id)""")
+cc AS (SELECT point_index AS vertex_id, point_index AS reached FROM g_points UNION SELECT cc.vertex_id, un.b FROM cc JOIN un ON cc.reached = un.a)
+SELECT vertex_id, min(reached) AS component FROM cc GROUP BY vertex_id""")
 def components(spark, d):
     return curves.components(views.points(spark, d).select(F.col("point_index").alias("vertex_id")), views.edges(spark, d))
 

@@ -1,3 +1,4 @@
+import math
 import os
 
 import duckdb
@@ -5,11 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from facetry.operators import curves, meshes, paths, poses, spatial
+from facetry.plans import checks, routes  # noqa: F401  register their queries
 from facetry.plans.queries import ORACLES, QUERIES
 from facetry.sources import text
 
 DATA = "/root/testdata/sf0.001"
-QUICK = [q for q in QUERIES if q not in ("components", "radius_choice", "reason_counts")]
+#: All but some that repeat the work of others.
+QUICK = [q for q in ORACLES if q not in ("radius_choice", "reason_counts", "rejecting_conditions", "depth_thresholds", "cylinder_checker", "disk_pairs")]
 
 
 def _rows(frame):
@@ -43,18 +46,22 @@ def test_components_of_a_path_and_isolated_vertices(spark):
 
 
 def test_runs_keep_two_runs_of_one_value(spark):
-    rows = spark.createDataFrame([("g", i, v) for i, v in enumerate([0, 0, 1, 1, 1, 2, 0])], "g string, i long, v int")
+    rows = spark.createDataFrame([("g", i, v) for i, v in enumerate([7, 4, 4, 7, 7, 9, 4])], "g string, i long, v int")
     got = sorted((r.v, r.start, r.end) for r in curves.runs(rows, "g", "i", "v").collect())
-    assert got == [(0, 0, 2), (0, 6, 7), (1, 2, 5), (2, 5, 6)]
+    assert got == [(4, 1, 3), (4, 6, 7), (7, 0, 1), (7, 3, 5), (9, 5, 6)]
 
 
-def test_closed_box(spark):
-    faces = [(0, 2, 1), (0, 3, 2), (4, 5, 6), (4, 6, 7), (0, 1, 5), (0, 5, 4), (1, 2, 6), (1, 6, 5), (2, 3, 7), (2, 7, 6), (3, 0, 4), (3, 4, 7)]
-    corners = [(-2, -2, -2), (2, -2, -2), (2, 2, -2), (-2, 2, -2), (-2, -2, 2), (2, -2, 2), (2, 2, 2), (-2, 2, 2)]
+def test_closed_pyramid(spark):
+    """A tent over n corners on a circle: the floor's fan and the roof's fan, with the volume of a pyramid."""
+    n = 7
+    ring = [(math.cos(2 * math.pi * i / n), math.sin(2 * math.pi * i / n), 0.0) for i in range(n)]
+    corners = [*ring, (0.0, 0.0, 0.0), (0.0, 0.0, 1.5)]
+    faces = [(i, (i + 1) % n, n + 1) for i in range(n)] + [((i + 1) % n, i, n) for i in range(n)]
     f = spark.createDataFrame([(i, *x) for i, x in enumerate(faces)], "face_id long, v0 long, v1 long, v2 long")
-    v = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(corners)], "vertex_id long, x double, y double, z double")
+    v = spark.createDataFrame([(i, *x) for i, x in enumerate(corners)], "vertex_id long, x double, y double, z double")
+    floor = n * math.sin(2 * math.pi / n) / 2
     assert meshes.closed(f).first().closed
-    assert abs(meshes.signed_volume(meshes.gathered(f, v)).first().volume - 64.0) < 1e-9
+    assert abs(meshes.signed_volume(meshes.gathered(f, v)).first().volume - floor * 1.5 / 3) < 1e-9
     assert not meshes.closed(f.where("face_id > 0")).first().closed
     assert not meshes.closed(f.where("false")).first().closed
 
@@ -113,3 +120,17 @@ def test_candidates_reject_bad_parameters(spark):
     for bad in ({"radius": 0.0}, {"radius": 1.0, "depth": 1.0}, {"radius": 1.0, "angles": 3}):
         with pytest.raises(ValueError):
             poses.candidates(spark.range(1), **({"angles": 8} | bad))
+
+
+def test_nearest_keeps_rows_without_place(spark):
+    left = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, None, 1.0, 1.0)], "id long, x double, y double, z double")
+    right = spark.createDataFrame([(5, 0.3, 0.0, 0.0), (6, 9.0, 0.0, 0.0), (7, 0.0, None, 0.0)], "point_id long, qx double, qy double, qz double")
+    got = {(r.id, r.point_id, r["rank"]) for r in spatial.nearest(left, right, "id", ["point_id"], 2).collect()}
+    assert got == {(1, 5, 1), (1, 6, 2), (2, None, None)}
+
+
+def test_written_lines_keep_their_order(spark, tmp_path):
+    lines = spark.createDataFrame([(i, f"v {i}") for i in range(50)], "line_no long, value string").repartition(5)
+    text.write_lines(lines, f"{tmp_path}/out")
+    parts = sorted(p for p in (tmp_path / "out").iterdir() if p.name.startswith("part-"))
+    assert [x for p in parts for x in p.read_text().splitlines()] == [f"v {i}" for i in range(50)]
