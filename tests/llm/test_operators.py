@@ -246,6 +246,55 @@ def test_license_scan(docs, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_license_scan_recall(spark):
+    """Against all shingles of all templates in all texts, with words of the templates changed and cut off."""
+    rnd = random.Random(8)
+    word = re.compile(r"[^\W_]+(?:\.(?=\d)\d+)?")
+
+    def shingles(t):
+        w = word.findall(t.lower())
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+    rows = []
+    for _, text in license_scan.TEMPLATES:
+        for k in range(8):
+            w = text.split()
+            if k % 4 == 1:
+                w[rnd.randrange(len(w))] = "changed"
+            elif k % 4 == 2:
+                w = w[rnd.randrange(2) :]
+            elif k % 4 == 3:
+                w = w[: len(w) - rnd.randrange(3)]
+            some = lambda: [rnd.choice(WORDS["en"]) for _ in range(rnd.randrange(40))]
+            rows.append((len(rows), " ".join([*some(), *w, *some()])))
+    want = set()
+    for i, text in rows:
+        own = shingles(text)
+        for name, template in license_scan.TEMPLATES:
+            wanted = set(shingles(template))
+            n = len(shingles(template))
+            if any(len(set(own[max(j - n, 0) : max(j - n, 0) + 2 * n + 2]) & wanted) >= 0.8 * len(wanted) for j, x in enumerate(own) if x in wanted):
+                want.add((i, name))
+    got = {(r.doc_id, r.license) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 40
+
+
+def test_language_id_is_the_nearest_centroid(docs):
+    """Every prediction, from the fitted model, by a plain search over all centroids."""
+    model = langid.fit(docs.where(langid.learned_from()))
+    got = {r.doc_id: r for r in langid.language_id(docs).collect()}
+    assert model.langs == ["de", "en", "fr"] and np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-4)
+    for i, t, *_ in TEXTS:
+        cleaned = "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+        if not cleaned:
+            continue
+        n = langid.counts(f" {' '.join(cleaned)} ")
+        v = np.log1p(n) * model.idf
+        cosines = [float(v @ c / np.linalg.norm(v)) for c in model.centroids]
+        assert got[i].score == pytest.approx(max(cosines), abs=1e-4)
+        assert got[i].lang_pred in {model.langs[model.of[k]] for k, c in enumerate(cosines) if c > max(cosines) - 1e-5}
+
+
 def test_language_id(docs, empty):
     got = {r.doc_id: r for r in langid.language_id(docs).collect()}
     assert len(got) == len(TEXTS)
