@@ -29,7 +29,7 @@ from .common import staged, text_or_empty
 
 GIANT, CHUNK = 65_536, 8_192
 #: Chunks whose matrices are multiplied together first, and chunks of one task.
-BLOCK, TASK = 64, 4
+BLOCK, TASK = 64, 16
 _BLANK = "▁"
 
 

@@ -460,17 +460,20 @@ def test_cascade_is_exact_over_its_universe(spark, monkeypatch):
     universe = spark.range(3000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
     cascade = url_filter.Cascade("c", listed, universe)
     got = {r.key for r in cascade.attached(universe).where(cascade.contains(F.col("key"))).collect()}
-    parts = url_filter.cascades("c", listed, universe, 1 << 8)
+    assert len(cascade.levels) > 2 and got == {f"k{i * 7}" for i in range(300)}
+    monkeypatch.setattr(url_filter, "BITS", 12)
+    parts = url_filter.cascades("c", listed, universe, 1 << 11)
     named = universe.withColumn("a", F.col("key")).withColumn("va", F.lit(None).cast("string"))
     assert len(parts) > 1 and {r.key for r in url_filter.marked(named, ["a"], "x", parts).where("va = 'x'").collect()} == got
-    assert len(cascade.levels) > 2 and got == {f"k{i * 7}" for i in range(300)}
 
 
-def test_sentencepiece(spark, docs, empty):
+def test_sentencepiece(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(pieces, "TASK", 256)
     library = pieces.lattice(None).library
-    got = {r.doc_id: list(r.ids) for r in pieces.encode(docs, giant=200, chunk=64).collect()}
+    encoded = pieces.encode(docs, giant=200, chunk=64)
+    got = {r.doc_id: list(r.ids) for r in encoded.collect()}
     assert got == {i: library.encode(t or "") for i, t, *_ in TEXTS}
-    back = {r.doc_id: r for r in pieces.decode(pieces.encode(docs, giant=200, chunk=64)).collect()}
+    back = {r.doc_id: r for r in pieces.decode(encoded).collect()}
     assert all(back[i].text == (t or "") and back[i].n_ids == len(got[i]) for i, t, *_ in TEXTS)
     assert pieces.encoded_and_decoded(empty).count() == 0
 
