@@ -33,9 +33,11 @@ def reasons_like(judged: DataFrame, prefixes: list[str]) -> DataFrame:
 
 
 def depth_summary(checked: DataFrame) -> DataFrame:
-    """Least, median and greatest penetration of the poses that touch something, by point and (point_index null) over all."""
+    """Least, median and greatest penetration of the poses that touch something, by point and, as
+    point -1, over all."""
     deep = checked.where("penetration > 0")
-    return deep.rollup("point_index").agg(F.count("*").alias("n"), F.min("penetration").alias("least"), F.median("penetration").alias("middle"), F.max("penetration").alias("most"))
+    rows = deep.rollup("point_index").agg(F.count("*").alias("n"), F.min("penetration").alias("least"), F.median("penetration").alias("middle"), F.max("penetration").alias("most"))
+    return rows.withColumn("point_index", F.coalesce("point_index", F.lit(-1).cast("long")))
 
 
 def cases(judged: DataFrame, case: str) -> DataFrame:

@@ -39,7 +39,7 @@ def ring_angles(spark, d):
 
 
 @_query(f"""{_CHECKED}, dp AS (SELECT point_index, penetration FROM ck WHERE penetration > 0)
-SELECT point_index, count(*) AS n, round(min(penetration), 6) AS least, round(median(penetration), 6) AS middle, round(max(penetration), 6) AS most FROM dp GROUP BY ROLLUP (point_index)""")
+SELECT coalesce(dp.point_index, -1) AS point_index, count(*) AS n, round(min(penetration), 6) AS least, round(median(penetration), 6) AS middle, round(max(penetration), 6) AS most FROM dp GROUP BY ROLLUP (dp.point_index)""")
 def depth_summary(spark, d):
     checked = collision.check_cylinders(_poses(spark, d), views.triangles(spark, d), RADIUS, WIDTH, False, contact_patch=True, max_penetration=DEPTH, normal_degrees=DEGREES)
     return _round(reports.depth_summary(checked.select("point_index", "penetration")))
