@@ -33,8 +33,8 @@ from .common import staged, text_or_empty
 LENGTH, GROUP_PIECES, NODES = 2048, 20_000, 20
 #: Texts that are encoded together.
 BATCH = 256
-#: Most remembered chunks per worker; further ones are encoded anew: about 65 MB, which an idle worker still holds.
-REMEMBERED = 250_000
+#: Most remembered chunks per worker; further ones are encoded anew: about 130 MB, which an idle worker still holds.
+REMEMBERED = 500_000
 #: Texts without such a character are encoded by their white-space chunks; lower-casing and NFC act on each alike.
 OTHER = re.compile(r"[^\t-\r\x20-\x7e\xa1-\xff]")
 #: The words that the tokenizer cuts a chunk into; a fixed value of the vocabulary's file.
