@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprint, langid, license_scan, packing, pieces, pii, recompression, simhash, url_filter
+from . import exact_dedup, fingerprint, host_rules, langid, license_scan, merkle, packing, pieces, pii, recompression, simhash, url_filter, whitening
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.quality_rules(_docs(spark, sf_dir))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_license_scan, op4_language_id, op5_sentencepiece, op6_simhash, op7_exact_dedup, op8_packing, op9_fingerprints, op10_url_filter)
+    f.__name__: f
+    for f in (
+        op1_pii, op2_substring_dedup, op3_license_scan, op4_language_id, op5_sentencepiece, op6_simhash, op7_exact_dedup, op8_packing, op9_fingerprints, op10_url_filter,
+        op11_host_rules, op12_whitening, op13_merkle,
+    )
 }
-ORACLES: dict[str, str] = {"op7_exact_dedup": exact_dedup.SQL, "op10_url_filter": url_filter.SQL}
+ORACLES: dict[str, str] = {"op7_exact_dedup": exact_dedup.SQL, "op10_url_filter": url_filter.SQL, "op11_host_rules": host_rules.SQL, "op13_merkle": merkle.SQL}
