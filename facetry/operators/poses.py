@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import add, cross, dot, named, scale, sub, unit, vec
-from .spatial import within
+from .spatial import nearest, within
 
 
 def frames(curve: DataFrame, normals: DataFrame) -> DataFrame:
@@ -52,9 +52,21 @@ def envelope(poses: DataFrame, samples: DataFrame, radius: float, clearance: flo
     only into neighbouring grid cells and stops at the sphere."""
     keys = ["point_index", "candidate_index", "rho_index"] if "rho_index" in poses.columns else ["point_index", "candidate_index"]
     lean = poses.select(*keys, "rho", "x", "y", "z")
-    hits = within(lean, samples.select(F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("z").alias("qz")), radius + clearance)
-    struck = hits.where(F.col("distance") - F.col("rho") < clearance).select(*keys).distinct().withColumn("struck", F.lit(True))
-    out = poses.join(struck, keys, "left").withColumn("feasible", F.col("struck").isNull()).drop("struck")
+    met = within(lean, samples.select(F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("z").alias("qz")), radius + clearance)
+    struck = met.groupBy(*keys).agg(F.min(F.col("distance") - F.col("rho")).alias("room")).where(F.col("room") < clearance)
+    out = poses.join(struck, keys, "left").withColumn("feasible", F.col("room").isNull()).drop("room")
+    return out.withColumn("reason", F.when(F.col("feasible"), "safe").otherwise("wheel_outer_collision"))
+
+
+def clearances(poses: DataFrame, samples: DataFrame, clearance: float = 0.0) -> DataFrame:
+    """poses with nearest_distance (to the nearest sample, however far), clearance (that without rho), feasible and reason;
+    samples have sample_id, x, y, z. Without any sample all poses are feasible and the distances null."""
+    keys = ["point_index", "candidate_index"]
+    right = samples.select("sample_id", *[F.col(a).alias(f"q{a}") for a in "xyz"])
+    lean = poses.select(F.struct(*keys).alias("key"), "x", "y", "z")
+    found = nearest(lean, right, "key", ["sample_id"]).select("key.*", F.col("distance").alias("nearest_distance"))
+    out = poses.join(found, keys, "left").withColumn("clearance", F.col("nearest_distance") - F.col("rho"))
+    out = out.withColumn("feasible", F.coalesce(F.col("clearance") >= clearance, F.lit(True)))
     return out.withColumn("reason", F.when(F.col("feasible"), "safe").otherwise("wheel_outer_collision"))
 
 

@@ -66,11 +66,11 @@ def evenly(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
     return placed.where((F.col("many") <= n) | F.array_contains(wanted, F.col("place"))).drop("place", "many")
 
 
-def nearest_faces(points: DataFrame, triangles: DataFrame, k: int, radius: float, least: int, start: float = 0.05) -> DataFrame:
+def nearest_faces(points: DataFrame, triangles: DataFrame, k: int, radius: float, least: int) -> DataFrame:
     """point_index, face_id, distance, rank: of the k faces with the nearest centroids those within the radius by exact
     distance, or the `least` nearest where fewer are."""
     middle = metrics(triangles).select("face_id", *[F.col(f"m{a}").alias(f"q{a}") for a in "xyz"])
-    found = nearest(points.select("point_index", "x", "y", "z"), middle, "point_index", ["face_id"], k, start).select("point_index", "x", "y", "z", "face_id")
+    found = nearest(points.select("point_index", "x", "y", "z"), middle, "point_index", ["face_id"], k).select("point_index", "x", "y", "z", "face_id")
     exact = found.join(triangles, "face_id").withColumn("distance", on_triangle(vec(), vec("a"), vec("b"), vec("c"))["distance"])
     exact = exact.select("point_index", "face_id", "distance")
     w = Window.partitionBy("point_index")

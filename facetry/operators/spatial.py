@@ -1,65 +1,121 @@
-"""Neighbour and overlap joins on a grid: equi joins on cells with an exact residual test."""
+"""Neighbour and overlap joins: equi joins on grid cells with an exact residual test, and a descent through nested cells
+for the nearest neighbours."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import distance, vec
 from .curves import _written
 
+#: Most cells of one level that are broadcast (about 20 MB), and points of a cell beyond which repeated places are thinned.
+CELLS, CROWD = 200_000, 1_000
+
 
 def _cell(v, size: float) -> list[Column]:
     return [F.floor(c / size) for c in v]
 
 
 def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """Pairs of left (x, y, z) and right (qx, qy, qz) rows at most radius apart, with their distance. Each right row
-    lies in one cell; each left row looks into the 27 around its own."""
-    ways = F.array(*[F.struct(*[F.lit(d).alias(a) for d, a in zip((i, j, k), "ijk", strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    looks = left.select("*", F.explode(ways).alias("way"))
-    looks = looks.select(*left.columns, *[(c + F.col(f"way.{a}")).alias(f"cell_{a}") for c, a in zip(_cell(vec(), radius), "ijk", strict=True)])
-    lies = right.select("*", *[c.alias(f"cell_{a}") for c, a in zip(_cell(vec("q"), radius), "ijk", strict=True)])
-    met = looks.join(lies, ["cell_i", "cell_j", "cell_k"]).drop("cell_i", "cell_j", "cell_k")
+    """Pairs of left (x, y, z) and right (qx, qy, qz) rows at most radius apart, with their distance. Each left row lies
+    in one cell; each right row reaches into the 27 around its own, so put the smaller table on the right."""
+    lies = left.select("*", *[c.alias(f"cell_{a}") for c, a in zip(_cell(vec(), radius), "ijk", strict=True)])
+    looks = right
+    for c, a in zip(vec("q"), "ijk", strict=True):
+        looks = looks.withColumn(f"cell_{a}", F.explode(F.sequence(F.floor(c / radius) - 1, F.floor(c / radius) + 1)))
+    met = lies.join(looks, ["cell_i", "cell_j", "cell_k"]).drop("cell_i", "cell_j", "cell_k")
     return met.withColumn("distance", distance(vec(), vec("q"))).where(F.col("distance") <= radius)
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, ties: list[str], k: int = 1, radius: float = 0.05) -> DataFrame:
-    """The k nearest right rows of every left row, with their rank. The radius doubles until every left row has k
-    neighbours within it, or all there are; rows that are done leave the search. Rows with a null coordinate are nobody's
-    neighbours; on the left they come out once, with nulls for neighbour, distance and rank."""
-    placed = lambda p: F.col(f"{p}x").isNotNull() & F.col(f"{p}y").isNotNull() & F.col(f"{p}z").isNotNull()
-    nowhere, left, right = left.where(~placed("")), left.where(placed("")), right.where(placed("q"))
-    total, done, round_radius = right.count(), [], radius
-    todo = _written(left)
-    w = Window.partitionBy(key).orderBy("distance", *ties)
-    span = Window.partitionBy(key)
-    widest = 2.0 * max(1.0, *[abs(x or 0.0) for d, p in ((left, ""), (right, "q")) for x in d.agg(*[F.max(F.abs(F.col(f"{p}{a}"))) for a in "xyz"]).first()]) * 2
-    while todo.limit(1).count():
-        pairs = within(todo, right, round_radius).select("*", F.row_number().over(w).alias("rank"), F.count("*").over(span).alias("found"))
-        full = _written(pairs.where((F.col("found") >= min(k, total)) & (F.col("rank") <= k)).drop("found"))
-        done.append(full)
-        todo = _written(todo.join(full.select(key).distinct(), key, "left_anti"))
-        if round_radius > widest:
-            break
-        round_radius *= 2
-    out = done[0] if done else within(left, right, radius).withColumn("rank", F.lit(1)).where("false")
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.unionByName(nowhere, allowMissingColumns=True)
-
-
-def overlapping(queries: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
-    """Pairs whose boxes (lo*/hi* against qlo*/qhi*) overlap, once each: both sides cover grid cells, and a pair counts
-    in the first cell that they share."""
-    def covered(df: DataFrame, lo: str, hi: str) -> DataFrame:
-        out = df
+def _box_distances() -> tuple[Column, Column]:
+    """The least and the largest distance of x, y, z to the points of a box blo*, bhi*."""
+    least = [F.greatest(F.lit(0.0), F.col(f"blo{a}") - F.col(a), F.col(a) - F.col(f"bhi{a}")) for a in "xyz"]
+    most = [F.greatest(F.abs(F.col(a) - F.col(f"blo{a}")), F.abs(F.col(a) - F.col(f"bhi{a}"))) for a in "xyz"]
+    return tuple(F.sqrt(sum((d * d for d in v), F.lit(0.0))) for v in (least, most))
+
+
+def _cells(placed: DataFrame) -> DataFrame:
+    """Count and bounding box of every finest cell."""
+    ends = [f(f"q{a}").alias(f"b{n}{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
+    return placed.groupBy("cell_x", "cell_y", "cell_z").agg(F.count("*").alias("n"), *ends)
+
+
+def _coarser(cells: DataFrame, shift: int) -> DataFrame:
+    up = [F.shiftright(f"cell_{a}", shift).alias(f"cell_{a}") for a in "xyz"]
+    ends = [f(f"b{n}{a}").alias(f"b{n}{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
+    return cells.groupBy(*up).agg(F.sum("n").alias("n"), *ends)
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, ties: list[str], k: int = 1) -> DataFrame:
+    """The k nearest right rows of every left row (told apart by key), with distance and rank; of equals by ties.
+
+    Right rows lie in nested cells with counts and bounding boxes. Left rows go down two levels a step: of the cells whose
+    parents are still in question, those stay that are not beyond the distance within which the nearest cells already
+    hold k rows. So a row far from all others meets the few cells that face it, not the whole table. Only the finest
+    cells meet their rows. Rows with a null coordinate are nobody's neighbours; on the left they come out once, with
+    nulls for neighbour, distance and rank."""
+    there = lambda p: F.col(f"{p}x").isNotNull() & F.col(f"{p}y").isNotNull() & F.col(f"{p}z").isNotNull()
+    nowhere, left, right = left.where(~there("")), left.where(there("")), right.where(there("q"))
+    span = right.agg(F.count("*").alias("n"), *[f(f"q{a}").alias(f"{m}{a}") for a in "xyz" for m, f in (("lo", F.min), ("hi", F.max))]).first()
+    size = max([1e-300, *[span[f"hi{a}"] - span[f"lo{a}"] for a in "xyz" if span["n"]]])
+    depth = 2 * max(1, min(15, round(math.log(max(1, span["n"]) / 32, 4) / 2)))
+    finest = [F.least(F.floor((F.col(f"q{a}") - F.lit(span[f"lo{a}"])) / size * 2**depth), F.lit(2**depth - 1)).alias(f"cell_{a}") for a in "xyz"]
+    placed = right.select("*", *finest)
+    cells = _written(_cells(placed))
+    many, fullest = cells.agg(F.count("*"), F.max("n")).first()
+    if (fullest or 0) > CROWD + k:  # of rows in one place at most k can be among the nearest
+        spot = Window.partitionBy("qx", "qy", "qz").orderBy(*ties)
+        placed = _written(placed.withColumn("_in_spot", F.row_number().over(spot)).where(F.col("_in_spot") <= k).drop("_in_spot"))
+        cells = _written(_cells(placed))
+    keys = ["cell_x", "cell_y", "cell_z"]
+    now = left.select(key, *[F.col(a).cast("double").alias(a) for a in "xyz"], *[F.lit(0).cast("long").alias(c) for c in keys], F.lit(math.inf).alias("bound"))
+    for level in range(2, depth + 1, 2):
+        below = _coarser(cells, depth - level) if level < depth else cells
+        below = below.withColumns({f"p{a}": F.shiftright(f"cell_{a}", 2) for a in "xyz"})
+        below = F.broadcast(below) if min(many, 8**level) <= CELLS else below
+        parents = now.select(key, "x", "y", "z", "bound", *[F.col(f"cell_{a}").alias(f"p{a}") for a in "xyz"])
+        least, most = _box_distances()
+        met = parents.join(below, ["px", "py", "pz"]).select(key, "x", "y", "z", "bound", "n", *keys, least.alias("least"), most.alias("most"))
+        met = met.where(F.col("least") <= F.col("bound"))
+        whole = Window.partitionBy(key)
+        held = F.sum("n").over(whole.orderBy("most").rangeBetween(Window.unboundedPreceding, 0))
+        bound = F.min(F.when(F.col("held") >= k, F.col("most") * (1 + 1e-12))).over(whole)
+        met = met.withColumn("held", held).withColumn("bound", F.least("bound", F.coalesce(bound, F.lit(math.inf))))
+        now = met.where(F.col("least") <= F.col("bound")).select(key, "x", "y", "z", *keys, "bound")
+    found = now.join(placed, keys).withColumn("distance", distance(vec(), vec("q"))).where(F.col("distance") <= F.col("bound"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("distance", *ties))
+    found = found.withColumn("rank", rank).where(F.col("rank") <= k).select(key, *right.columns, "distance", "rank")
+    return left.join(found, key).unionByName(nowhere, allowMissingColumns=True)
+
+
+def _levels(boxes: DataFrame, lo: str, hi: str) -> tuple[DataFrame, list[int]]:
+    """boxes with the level at which a box covers at most two cells an axis (cells of size 2 ** level), and all levels."""
+    extent = F.greatest(F.lit(2.0**-60), *[F.col(f"{hi}{a}") - F.col(f"{lo}{a}") for a in "xyz"])
+    out = boxes.withColumn("_level", F.ceil(F.log2(extent)).cast("int"))
+    return out, sorted(x for x in out.agg(F.collect_set("_level")).first()[0])
+
+
+def overlapping(queries: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Pairs whose boxes (lo*/hi* against qlo*/qhi*) overlap, once each. Each box covers at most eight cells of a level;
+    a pair meets at the level of its larger box, in the first cell that both cover. The levels that occur are few
+    numbers, which both sides need to know."""
+    own, queries_at = _levels(queries, "lo", "hi")
+    other, boxes_at = _levels(boxes, "qlo", "qhi")
+
+    def covered(df: DataFrame, lo: str, hi: str, theirs: list[int], name: str) -> DataFrame:
+        at = F.filter(F.array(*[F.lit(x) for x in theirs]), lambda x: x > F.col("_level")) if theirs else F.array().cast("array<int>")
+        at = F.when(F.col("_level") >= F.lit(min(theirs, default=999)), F.concat(F.array("_level"), at)).otherwise(at)
+        out = df.withColumn("at", F.explode(at)).withColumnRenamed("_level", name)
         for a in "xyz":
-            out = out.withColumn(f"cell_{a}", F.explode(F.sequence(F.floor(F.col(f"{lo}{a}") / cell), F.floor(F.col(f"{hi}{a}") / cell))))
+            out = out.withColumn(f"cell_{a}", F.explode(F.sequence(*[F.floor(F.col(f"{n}{a}") / F.pow(F.lit(2.0), "at")) for n in (lo, hi)])))
         return out
 
-    met = covered(queries, "lo", "hi").join(covered(boxes, "qlo", "qhi"), [f"cell_{a}" for a in "xyz"])
+    met = covered(own, "lo", "hi", boxes_at, "_own").join(covered(other, "qlo", "qhi", queries_at, "_other"), ["at", *[f"cell_{a}" for a in "xyz"]])
+    met = met.where(F.col("at") == F.greatest("_own", "_other"))
     for a in "xyz":
-        first = F.floor(F.greatest(f"lo{a}", f"qlo{a}") / cell)
+        first = F.floor(F.greatest(f"lo{a}", f"qlo{a}") / F.pow(F.lit(2.0), "at"))
         met = met.where((F.col(f"lo{a}") <= F.col(f"qhi{a}")) & (F.col(f"qlo{a}") <= F.col(f"hi{a}")) & (F.col(f"cell_{a}") == first))
-    return met.drop(*[f"cell_{a}" for a in "xyz"])
+    return met.drop("at", "_own", "_other", *[f"cell_{a}" for a in "xyz"])

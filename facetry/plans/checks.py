@@ -28,12 +28,12 @@ def _poses(spark: SparkSession, d: str) -> DataFrame:
 
 
 _POSES = f"""{_CANDIDATES}
-, po AS (SELECT cd.point_index, cd.branch_id, angle_index AS candidate_index, {_xyz(f"c% + {WIDTH / 2}e0 * a% AS x%")}, {_xyz("a%")}, {_xyz("g.% AS p%")} FROM cd JOIN g_points g USING (point_index)),
+, po AS MATERIALIZED (SELECT cd.point_index, cd.branch_id, angle_index AS candidate_index, {_xyz(f"c% + {WIDTH / 2}e0 * a% AS x%")}, {_xyz("a%")}, {_xyz("g.% AS p%")} FROM cd JOIN g_points g USING (point_index)),
 bx AS (SELECT *, {_xyz("least(a%, b%, c%) AS l%")}, {_xyz("greatest(a%, b%, c%) AS h%")} FROM g_tris)"""
 _CORNERS = ", ".join(f"t.{k}{a} - po.x{a} AS {k}{a}" for k in "abc" for a in "xyz")
 _MET = f"""{_POSES}
 , bo AS (SELECT *, {_xyz(f"{RADIUS}e0 * sqrt(greatest(0, 1 - a% * a%)) + {WIDTH / 2}e0 * abs(a%) + {_E} AS e%")} FROM po),
-pr AS (SELECT po.point_index, po.candidate_index, t.face_id, {_xyz("po.a% AS d%")}, {_xyz("po.p% - po.x% AS t%")}, {_CORNERS}
+pr AS MATERIALIZED (SELECT po.point_index, po.candidate_index, t.face_id, {_xyz("po.a% AS d%")}, {_xyz("po.p% - po.x% AS t%")}, {_CORNERS}
   FROM bo po JOIN bx t ON {_xyz("t.l% <= po.x% + po.e% AND t.h% >= po.x% - po.e%", " AND ")})"""
 _EDGES = " UNION ALL ".join(f"SELECT point_index, candidate_index, face_id, {_xyz('d%')}, {_xyz('t%')}, {_xyz(f'{p}% AS p%')}, {_xyz(f'{q}% AS q%')} FROM pr" for p, q in ("ab", "bc", "ca"))
 _ID = "point_index, candidate_index, face_id"
@@ -65,7 +65,7 @@ n1 AS (SELECT *, {_dot('n', 'a')} / {_dot('n', 'd')} AS z0, abs({_dot('n', 'd')}
 pc AS (SELECT {_ID}, align, CASE WHEN k2 >= 0 AND k3 >= 0 AND k4 >= 0 AND abs(z0) <= {_HALF} THEN z0 END AS z0, sqrt({_xyz('(z0 * d% - t%) ** 2', ' + ')}) AS dz0 FROM n4),
 ag AS (SELECT {_ID}, min(near) AS near, arg_min(zn, near) AS zn, greatest(0, max(greatest(zu, zv)) + {WIDTH / 2}e0) AS axial, max(greatest(coalesce(d1, -1), coalesce(d2, -1), coalesce(d3, -1), coalesce(d4, -1))) AS patch FROM s6 GROUP BY ALL),
 ct0 AS (SELECT {_ID}, align, axial, CASE WHEN z0 IS NULL THEN near ELSE 0 END AS near, coalesce(z0, zn) AS zw, CASE WHEN patch >= 0 THEN patch ELSE dz0 END AS patch FROM ag JOIN pc USING ({_ID})),
-ct AS (SELECT *, greatest(0, {RADIUS}e0 - sqrt(near)) AS radial, CASE WHEN abs(abs(zw) - {WIDTH / 2}e0) <= 2e-10 THEN zw <= 0 END AS near_cap FROM ct0 WHERE near <= ({RADIUS}e0 + {_E}) ** 2)"""
+ct AS MATERIALIZED (SELECT *, greatest(0, {RADIUS}e0 - sqrt(near)) AS radial, CASE WHEN abs(abs(zw) - {WIDTH / 2}e0) <= 2e-10 THEN zw <= 0 END AS near_cap FROM ct0 WHERE near <= ({RADIUS}e0 + {_E}) ** 2)"""
 
 
 @_query(f"{_MET} SELECT point_index, candidate_index, count(*) AS faces FROM pr GROUP BY ALL")
@@ -83,19 +83,19 @@ def cylinder_contact(spark, d):
 
 
 _CHECKED = f"""{_CONTACT}
-, ex AS (SELECT *, coalesce(near_cap, true) AND least(axial, radial) <= {DEPTH}e0 + {_E} AND patch <= {2 * RADIUS}e0 + {_E} AND align >= cos(radians({DEGREES}e0)) - 1e-12 AS ok FROM ct),
+, ex AS (SELECT *, coalesce(near_cap, true) AND least(axial, radial) <= {DEPTH}e0 + {_E} AND patch <= {2 * RADIUS}e0 + {_E} AND align >= cos(radians({DEGREES}e0)) - 1e-12 AS ok,
+  CASE WHEN abs(sqrt(near) - {RADIUS}e0) <= 2e-10 THEN CASE WHEN near_cap IS NULL THEN 'cylinder_side_collision' ELSE 'cylinder_edge_collision' END WHEN near_cap IS NULL THEN 'triangle_interior_collision' ELSE 'cylinder_cap_collision' END AS kind FROM ct),
 ck AS (SELECT point_index, candidate_index, bool_and(ok) AS feasible, count(*) FILTER (ok) AS contact_faces, max(CASE WHEN ok THEN least(axial, radial) ELSE 0 END) AS contact_penetration,
-  max(CASE WHEN ok THEN patch ELSE 0 END) AS contact_patch, max(least(axial, radial)) AS penetration FROM ex GROUP BY ALL)"""
+  max(CASE WHEN ok THEN patch ELSE 0 END) AS contact_patch, max(least(axial, radial)) AS penetration, arg_min(kind, face_id) FILTER (NOT ok) AS kind FROM ex GROUP BY ALL)"""
 
 
-@_query(f"""{_CHECKED} SELECT po.point_index, po.candidate_index, coalesce(feasible, true) AS feasible, CASE WHEN NOT feasible THEN 'collision' WHEN contact_faces > 0 THEN 'contact_patch_only_surface_only_non_closed_mesh' ELSE 'safe_surface_only_non_closed_mesh' END AS reason,
+@_query(f"""{_CHECKED} SELECT po.point_index, po.candidate_index, coalesce(feasible, true) AS feasible, CASE WHEN NOT feasible THEN kind WHEN contact_faces > 0 THEN 'contact_patch_only_surface_only_non_closed_mesh' ELSE 'safe_surface_only_non_closed_mesh' END AS reason,
   CAST(coalesce(contact_faces, 0) AS BIGINT) AS contact_faces, round(coalesce(contact_penetration, 0), 6) AS contact_penetration, round(coalesce(contact_patch, 0), 6) AS contact_patch, round(coalesce(penetration, 0), 6) AS penetration
   FROM po LEFT JOIN ck USING (point_index, candidate_index)""")
 def cylinder_checker(spark, d):
-    """The verdict on every pose; the kinds of collision are one here."""
+    """The verdict on every pose, with the kind of the first rejecting face."""
     out = collision.check_cylinders(_poses(spark, d), views.triangles(spark, d), RADIUS, WIDTH, False, contact_patch=True, max_penetration=DEPTH, normal_degrees=DEGREES)
-    reason = F.when(F.col("feasible"), F.col("reason")).otherwise("collision").alias("reason")
-    return _round(out.select("point_index", "candidate_index", "feasible", reason, "contact_faces", "contact_penetration", "contact_patch", "penetration"))
+    return _round(out.select("point_index", "candidate_index", "feasible", "reason", "contact_faces", "contact_penetration", "contact_patch", "penetration"))
 
 
 @_query(f"""{_CONTACT}

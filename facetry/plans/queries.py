@@ -242,7 +242,7 @@ SELECT p.point_index, bb.face_id FROM g_points p, bb WHERE {_xyz("p.% - 0.05e0 <
 def aabb_pairs(spark, d):
     balls = views.points(spark, d).select("point_index", *[(F.col(a) - 0.05).alias(f"lo{a}") for a in "xyz"], *[(F.col(a) + 0.05).alias(f"hi{a}") for a in "xyz"])
     tri = meshes.boxes(views.triangles(spark, d)).select("face_id", *[F.col(f"{n}{a}").alias(f"q{n}{a}") for n in ("lo", "hi") for a in "xyz"])
-    return spatial.overlapping(balls, tri, 0.1).select("point_index", "face_id")
+    return spatial.overlapping(balls, tri).select("point_index", "face_id")
 
 
 @_query(f"{_FRAMES} SELECT point_index, {_xyz('round(t%, 6) + 0.0 AS t%')}, {_xyz('round(q%, 6) + 0.0 AS q%')}, {_xyz('round(a%, 6) + 0.0 AS a%')} FROM fr")

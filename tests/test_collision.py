@@ -217,7 +217,10 @@ def test_checkers(spark):
     assert [disks[i].reason for i in range(4)] == ["disk_center_inside_closed_workpiece", "safe", "triangle_disk_segment_plane_intersection", "safe"]
     flat = _poses(spark, [(0.2, 0.1, 2.0)], [(0, 0, 1)], [(0.2, 0.1, 2.0)])
     assert collision.check_disks(flat, mesh, R, True).first().reason == "triangle_disk_coplanar_triangle"
-    assert collision.check_disks(flat, mesh, R, True, target_contact=True).first().reason == "target_contact_only"
+    # the target lies in one triangle of the face; the disk meets the other at the diagonal, 0.07 away, which rejects
+    assert collision.check_disks(flat, mesh, R, True, target_contact=True).first().reason == "triangle_disk_coplanar_triangle"
+    diagonal = _poses(spark, [(0.1, 0.1, 2.0)], [(0, 0, 1)], [(0.1, 0.1, 2.0)])
+    assert collision.check_disks(diagonal, mesh, R, True, target_contact=True).first().reason == "target_contact_only"
     with pytest.raises(ValueError):
         collision.check_cylinders(poses, mesh, R, 0.0, True)
 
