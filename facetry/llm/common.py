@@ -11,7 +11,7 @@ from contextvars import ContextVar
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes that the words of a text are split at: space and \t \n \v \f \r. bytes.split() uses the same set.
@@ -93,13 +93,27 @@ def own_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+def row_numbers(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a long column `name` that tells its rows apart and is the same in each scan, however the scan is split:
+    the number of the row's file (files are counted in order of their paths, one short row each) and the row's place in
+    the file. A table that is not a plain scan of files is staged first."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = staged(docs)
+    meta, path = docs.metadataColumn("_metadata"), own_name(docs, "facetry_path")
+    placed = docs.select("*", meta["file_path"].alias(path), meta["row_index"].alias(name))
+    files = placed.select(path).distinct()
+    files = staged(files.select(path, F.row_number().over(Window.orderBy(path)).cast("long").alias("file")).select(path, F.shiftleft("file", 40).alias("facetry_file")))
+    files = F.broadcast(files) if files.count() <= BROADCAST_ROWS // 10 else files
+    out = placed.join(files, path)
+    return out.select(*[docs[c] for c in docs.columns], (files["facetry_file"] + placed[name]).alias(name))
+
+
 def only_kept(docs: DataFrame, kept: Callable[[DataFrame, str], DataFrame], limit: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of docs whose number is among kept(docs with row numbers, name of the number's column). Rows have
-    numbers of their own, so ids may repeat or be missing. docs is a table read from files, whose scan gives the same
-    numbers each time. The numbers to drop are counted first: up to `limit` they are broadcast and the texts stay where
-    they are; beyond it both sides are shuffled."""
+    numbers of their own, so ids may repeat or be missing. The numbers to drop are counted first: up to `limit` they are
+    broadcast and the texts stay where they are; beyond it both sides are shuffled."""
     row = own_name(docs, "facetry_row")
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = row_numbers(docs, row)
     gone = staged(rows.select(row).join(kept(rows, row).select(row), row, "left_anti"))
     return rows.join(F.broadcast(gone) if gone.count() <= limit else gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -6,7 +6,7 @@ the right half. Each symbol carries the interval of words that its making depend
 same symbol is made, so equal substrings have the same interior symbols. Names are hashes, so all tasks agree on them
 without a shuffle; what Spark's rounds settle globally is which of them are shared.
 
-A text's top symbol names all its words (128 bits). Texts of one top symbol repeat each other from end to end: those of
+A text's top symbol names all its words (128 bits of a SHA-256). Texts of one top symbol repeat each other from end to end: those of
 the smallest id go on to the windows, of the others all words go.
 
 The symbols of a level fall into `PARTS` classes by name, which thins them out. A window takes the highest level that
@@ -14,7 +14,8 @@ has a symbol whose interval lies inside, of it the first class that has one, and
 window without any is its own symbol. Equal windows take the same symbols. So a window can occur in two
 documents only if *all* its symbols do. Spark finds the symbols that several documents share (counts combined on the
 map side), brings them to their documents, and only for windows all of whose symbols are shared shuffles the windows'
-own 128-bit names to find the smallest doc_id that has each. A word goes if a covering window occurs in a document of
+own names to find the smallest doc_id that has each: two of 64 bits each, from two independent hashes of each word.
+Names of inner symbols are sums modulo 2^64; two that meet by chance only let more windows be compared. A word goes if a covering window occurs in a document of
 smaller id. Names that fill much of a table (at most `common.HEAVY`) are joined by broadcast, all others by shuffle.
 
 Defined cases: rows are told apart by their id and the hash of their text, so rows that repeat an id keep their own
@@ -41,8 +42,8 @@ WINDOW, ROUNDS, PARTS = 13, 3, 8
 #: Texts that are parsed together, and their bytes, which bound a worker's memory (one longer text goes alone).
 BATCH, BYTES = 64, 1 << 19
 _LAST = (1 << 63) - 1
-#: Two odd bases of the windows' names, and their inverses.
-_BASES = (0xD1342543DE82EF95, 0x9FB21C651E98DF25)
+#: An odd base of the symbols' names. Where two symbols of different words meet in one name, more windows are compared.
+_BASE = 0xD1342543DE82EF95
 _FAR = np.int64(1 << 40)
 
 
@@ -126,8 +127,8 @@ class Parsed:
         self.valid = np.zeros(n, bool)
         for at, many in zip(self.begins.tolist(), self.n_windows.tolist(), strict=True):
             self.valid[at : at + many] = True
-        names, place = Names(h, _BASES[0]), np.arange(n, dtype=np.int64)
-        self.names, levels, now = names, [], Symbols(h, place, place + 1).runs(1)
+        names, place = Names(h, _BASE), np.arange(n, dtype=np.int64)
+        levels, now = [], Symbols(h, place, place + 1).runs(1)
         for r in range(ROUNDS):
             now = now.pairs(2 * r + 2)
             levels.append(now)
@@ -176,18 +177,26 @@ class Parsed:
             need &= _spread(first, low, n) == 0
         at = np.flatnonzero(alive)
         of = np.searchsorted(self.begins, at, side="right") - 1
-        other = Names(_mix(self.hashes, 9), _BASES[1])
-        return of, at - self.begins[of], self.names.of(at, at + self.window), other.of(at, at + self.window)
+        other = np.zeros(n, np.uint64)
+        for text in np.unique(of).tolist():  # a hash of its own for the second name, so that the two are independent
+            words = self.words[text]
+            other[self.begins[text] : self.begins[text] + len(words)] = np.fromiter((xxh3_64_intdigest(w, 2) for w in words), np.uint64, len(words))
+        return of, at - self.begins[of], window_names(self.hashes, at, self.window, 21), window_names(other, at, self.window, 57)
 
 
 def tops(texts: list[str]) -> list[tuple[int, int]]:
-    """The top symbol of each text: two names of all its words."""
-    words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-    h = np.fromiter((x for w in words for x in map(xxh3_64_intdigest, w)), np.uint64, sum(map(len, words)))
-    ends = np.cumsum([0, *map(len, words)])
-    names = Names(h, _BASES[0]), Names(_mix(h, 9), _BASES[1])
-    one, two = (n.of(ends[:-1], ends[1:]).view(np.int64).tolist() for n in names)
-    return list(zip(one, two, strict=True))
+    """The top symbol of each text: the first 128 bits of the SHA-256 of its words, one blank between them."""
+    digests = (hashlib.sha256(b" ".join(t.encode("utf-8", "surrogatepass").split())).digest() for t in texts)
+    return [(int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:16], "little", signed=True)) for d in digests]
+
+
+def window_names(hashes: np.ndarray, at: np.ndarray, window: int, salt: int) -> np.ndarray:
+    """Names of the windows that start at the given places: their words' hashes mixed one after another, so that no sum
+    of one window can stand for another's."""
+    name = np.full(len(at), salt, np.uint64)
+    for k in range(window):
+        name = _mix(name * np.uint64(0xD1342543DE82EF95) + hashes[at + k], salt + k)
+    return name
 
 
 def _in_batches(b: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list]]:
