@@ -68,11 +68,11 @@ def evenly(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
 
 def nearest_faces(points: DataFrame, triangles: DataFrame, k: int, radius: float, least: int) -> DataFrame:
     """point_index, face_id, distance, rank: of the k faces with the nearest centroids those within the radius by exact
-    distance, or the `least` nearest where fewer are."""
+    distance, or the `least` nearest where fewer are. Distances that agree to nine digits are ties, by face_id."""
     middle = metrics(triangles).select("face_id", *[F.col(f"m{a}").alias(f"q{a}") for a in "xyz"])
     found = nearest(points.select("point_index", "x", "y", "z"), middle, "point_index", ["face_id"], k).select("point_index", "x", "y", "z", "face_id")
     exact = found.join(triangles, "face_id").withColumn("distance", on_triangle(vec(), vec("a"), vec("b"), vec("c"))["distance"])
     exact = exact.select("point_index", "face_id", "distance")
     w = Window.partitionBy("point_index")
-    ranked = exact.withColumn("rank", F.row_number().over(w.orderBy("distance", "face_id"))).withColumn("within", F.count_if(F.col("distance") <= radius).over(w))
+    ranked = exact.withColumn("rank", F.row_number().over(w.orderBy(F.round("distance", 9), "face_id"))).withColumn("within", F.count_if(F.col("distance") <= radius).over(w))
     return ranked.where(F.when(F.col("within") >= least, F.col("distance") <= radius).otherwise(F.col("rank") <= least)).drop("within")
