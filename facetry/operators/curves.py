@@ -106,3 +106,48 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         if not after.where("fell").limit(1).count():
             return after.select("vertex_id", "component")
         now = after.select("vertex_id", "component")
+
+
+def ordered(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """vertex_id, component, seq: the vertices of each component along its path, from the lesser end, or from the least
+    vertex towards its lesser neighbour where the path is closed. Repeated edges and loops count once and not at all;
+    vertices without edges are paths of one; a vertex of more than two neighbours is an error.
+
+    The steps along all paths, in both directions, are a list that is ranked by pointer doubling: log n joins."""
+    both = edges.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select(F.col("e.a").alias("u"), F.col("e.b").alias("v"))
+    arcs = _written(both.distinct())
+    around = _written(arcs.groupBy("u").agg(F.count("*").alias("degree"), F.min("v").alias("low"), F.sum("v").alias("sum")))
+    fork = around.where("degree > 2").agg(F.min("u")).first()[0]
+    if fork is not None:
+        raise ValueError(f"vertex {fork} has more than two neighbours; a path may not branch")
+    parts = components(vertices, edges).join(around.select(F.col("u").alias("vertex_id"), "degree", "low"), "vertex_id", "left")
+    end = F.when(F.col("degree") == 1, F.col("vertex_id"))
+    parts = parts.withColumn("start", F.coalesce(F.min(end).over(Window.partitionBy("component")), F.col("component")))
+    parts = _written(parts)
+    heads = parts.where("vertex_id = start")
+    # a step follows the one that arrives where it leaves, but for those that leave an end or the start of a closed path
+    cut = heads.where("degree = 2").select(F.col("vertex_id").alias("u"), F.lit(True).alias("cut"))
+    steps = arcs.join(around, "u").join(cut, "u", "left").withColumn("before", F.when((F.col("degree") == 2) & F.col("cut").isNull(), F.col("sum") - F.col("v")))
+    now = _written(steps.select("u", "v", F.coalesce("before", "u").alias("ju"), F.when(F.col("before").isNotNull(), F.col("u")).otherwise(F.col("v")).alias("jv"), F.when(F.col("before").isNotNull(), 1).otherwise(0).cast("long").alias("far")))
+    while True:
+        after = now
+        for _ in range(3):
+            jump = after.select(F.col("u").alias("ju"), F.col("v").alias("jv"), F.col("ju").alias("ku"), F.col("jv").alias("kv"), F.col("far").alias("more"))
+            after = after.join(jump, ["ju", "jv"]).select("u", "v", F.col("ku").alias("ju"), F.col("kv").alias("jv"), (F.col("far") + F.col("more")).alias("far"))
+        after = _written(after)
+        moved = after.agg(F.sum("far")).first()[0] != now.agg(F.sum("far")).first()[0]
+        now = after
+        if not moved:
+            break
+    first = heads.where("low IS NOT NULL").select("component", F.col("start").alias("ju"), F.col("low").alias("jv"))
+    along = now.join(first, ["ju", "jv"]).where("v <> ju").select(F.col("v").alias("vertex_id"), "component", (F.col("far") + 1).alias("seq"))
+    return heads.select("vertex_id", "component", F.lit(0).cast("long").alias("seq")).unionByName(along)
+
+
+def split_and_resample(vertices: DataFrame, edges: DataFrame, total: int = 0) -> DataFrame:
+    """The branches of a line drawing as curves: branch_id (the component's least vertex), seq, x, y, z, tangent t* and
+    arc_length. total > 0 spreads so many points over the branches by length, else every vertex is kept."""
+    placed = ordered(vertices, edges).join(vertices, "vertex_id").select(F.col("component").alias("branch_id"), "seq", "x", "y", "z")
+    if total > 0:
+        placed = resample(_written(placed), total).withColumnRenamed("target", "seq")
+    return arc_lengths(tangents(placed))

@@ -17,6 +17,29 @@ def bbox_normalize(points: DataFrame) -> DataFrame:
     return framed.select(*[c for c in points.columns if c not in "xyz"], *[((F.col(a) - F.col(f"box.{a}")) / F.col("box.size")).alias(a) for a in "xyz"])
 
 
+def bbox_frame(*tables: DataFrame, mode: str = "max_extent") -> DataFrame:
+    """One row: scale and centre c* that normalise all the tables (x, y, z) together: coordinates are (v - c) / scale, and
+    back v * scale + c. Mode none leaves them as they are; without any point, or extent, the scale is 1."""
+    if mode not in ("max_extent", "none"):
+        raise ValueError("mode must be max_extent or none")
+    both = tables[0].select("x", "y", "z")
+    for t in tables[1:]:
+        both = both.unionByName(t.select("x", "y", "z"))
+    if mode == "none":
+        both = both.where("false")
+    box = both.agg(*[f(a).alias(f"{n}{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
+    size = F.greatest(*[F.col(f"hi{a}") - F.col(f"lo{a}") for a in "xyz"])
+    middle = [F.coalesce((F.col(f"lo{a}") + F.col(f"hi{a}")) / 2, F.lit(0.0)).alias(f"c{a}") for a in "xyz"]
+    return box.select(F.coalesce(F.when(size > 0, size), F.lit(1.0)).alias("scale"), *middle)
+
+
+def in_frame(points: DataFrame, frame: DataFrame, back: bool = False) -> DataFrame:
+    """points normalised by a frame, or taken back to their source."""
+    rows = points.withColumn("_f", frame.select(F.struct("scale", "cx", "cy", "cz").alias("f")).scalar())
+    made = [F.col(a) * F.col("_f.scale") + F.col(f"_f.c{a}") if back else (F.col(a) - F.col(f"_f.c{a}")) / F.col("_f.scale") for a in "xyz"]
+    return rows.withColumns({a: c for a, c in zip("xyz", made, strict=True)}).drop("_f")
+
+
 def metrics(triangles: DataFrame) -> DataFrame:
     """Unit normal (null if degenerate), area, centroid, validity."""
     n = cross(sub(vec("b"), vec("a")), sub(vec("c"), vec("a")))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from ..functions.vec import dot, vec
+from ..functions.vec import angle, dot, unit, vec
 from .curves import _written as shared
 
 #: Layers of one block, and blocks of one block of the next round.
@@ -302,6 +302,103 @@ def covered(curve: DataFrame, way: DataFrame) -> DataFrame:
     return rows.select(*keys, F.when(F.col("chosen").isNotNull(), "ok").otherwise("no_path").alias("status"), "cost", F.coalesce("chosen", F.lit(0)).alias("chosen"), (F.col("points") - F.coalesce("chosen", F.lit(0))).alias("skipped"), "gap", F.coalesce(whole, F.lit(False)).alias("union_ok"))
 
 
+_COUNTED = "branch_id int, lateral_side int, block long, head binary, tail binary, costs binary, ways binary"
+Counted = tuple[np.ndarray, np.ndarray]
+
+
+def _both(a: Counted, b: Counted) -> Counted:
+    """Product of (least cost, number of ways of that cost, at most two): costs add and ways multiply; of several ways the
+    least cost stays with the sum of the ways within 1e-9 of it."""
+    costs, ways = [], []
+    for cost, way in zip(b[0].T, b[1].T, strict=True):
+        each = a[0] + cost
+        least = each.min(1)
+        near = each <= (least + 1e-9 * np.maximum(1.0, np.abs(least)))[:, None]
+        costs.append(least)
+        ways.append(np.minimum(2, (a[1] * way * near).sum(1)))
+    return np.stack(costs, 1), np.stack(ways, 1)
+
+
+def co_optimal(nodes: DataFrame) -> DataFrame:
+    """branch_id, lateral_side, cost, ways: the cost of the shortest way of `chosen` and whether it is the only one (1) or
+    not (2). Blocks of layers become matrices of (cost, ways), joined in rounds as for the way itself."""
+    keys, wide = ["branch_id", "lateral_side"], 4
+    rule = _Layered()
+    lean = nodes.select(*_typed(nodes), "x", "y", "z")
+    low = lean.agg(F.coalesce(F.min("seq"), F.lit(0))).first()[0]
+    lean = shared(lean.withColumn("block", F.floor((F.col("seq") - low) / BLOCK).cast("long")))
+
+    def one(key, head, tail, counted):
+        parts = [np.ascontiguousarray(x, dtype=float).tobytes() for x in (head, tail, *counted)]
+        return pd.DataFrame([(*map(int, key), *parts)], columns=[c.split()[0] for c in _COUNTED.split(", ")])
+
+    def joined(key, parts):
+        head, tail, now = parts[0]
+        for h, t, c in parts[1:]:
+            step = _steps(tail, h)
+            now = _both(_both(now, (step, np.ones_like(step))), c)
+            tail = t
+        return one(key, head, tail, now)
+
+    def block(key, rows):
+        return joined(key, [(u.head, u.tail, (u.costs, np.eye(len(u.head)))) for u in rule.units(rows)])
+
+    def join(key, rows):
+        parts = []
+        for r in rows.sort_values("block").itertuples():
+            head, tail = (np.frombuffer(x).reshape(-1, wide) for x in (r.head, r.tail))
+            parts.append((head, tail, tuple(np.frombuffer(x).reshape(len(head), len(tail)) for x in (r.costs, r.ways))))
+        return joined(key, parts)
+
+    now = shared(lean.groupBy(*keys, "block").applyInPandas(block, _COUNTED))
+    while now.groupBy(*keys).count().where("count > 1").limit(1).count():
+        up = now.withColumn("up", F.floor(F.col("block") / BLOCK).cast("long"))
+        now = shared(up.groupBy(*keys, "up").applyInPandas(join, _COUNTED))
+
+    def top(batches):
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                costs, ways = np.frombuffer(r.costs), np.frombuffer(r.ways)
+                least = costs.min()
+                out.append((r.branch_id, r.lateral_side, float(least), int(min(2, ways[costs <= least + 1e-9 * max(1.0, abs(least))].sum()))))
+            yield pd.DataFrame(out, columns=[*keys, "cost", "ways"])
+
+    return now.mapInPandas(top, "branch_id int, lateral_side int, cost double, ways long")
+
+
+def axis_steps(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, max_axis_step and mean_axis_step: degrees between the axes a* of neighbouring nodes (seq)."""
+    w = Window.partitionBy(*keys).orderBy("seq")
+    turn = angle(unit(vec("a")), tuple(F.lag(c).over(w) for c in ("_x", "_y", "_z")))
+    rows = nodes.withColumns({f"_{a}": c for a, c in zip("xyz", unit(vec("a")), strict=True)}).withColumn("turn", turn)
+    return rows.groupBy(*keys).agg(F.max("turn").alias("max_axis_step"), F.avg("turn").alias("mean_axis_step"))
+
+
+def node_records(nodes: DataFrame, frame: DataFrame) -> DataFrame:
+    """nodes of a way (branch_id, lateral_side, seq, point_index, candidate_index, angle, x, y, z, a*, q*, e*) with angle_deg,
+    lateral_projection, the centre in the normalised and in the source frame and the axis. frame is one row of
+    `meshes.bbox_frame`."""
+    one = frame.select(F.struct("scale", "cx", "cy", "cz").alias("f")).scalar()
+    rows = nodes.withColumn("f", one)
+    source = [(F.col(a) * F.col("f.scale") + F.col(f"f.c{a}")).alias(f"source_{a}") for a in "xyz"]
+    return rows.select("branch_id", "lateral_side", "seq", "point_index", "candidate_index", F.degrees("angle").alias("angle_deg"), dot(vec("e"), vec("q")).alias("lateral_projection"), *[F.col(a).alias(f"norm_{a}") for a in "xyz"], *source, "ax", "ay", "az")
+
+
+def side_records(points: DataFrame, nodes: DataFrame, frame: DataFrame) -> DataFrame:
+    """Every branch and side as a report: status, points, missing, length_norm, length_source, longest segment, turns, axis
+    steps, ways (at most two shortest ones) and side_name. nodes are the feasible poses of `planned`, with angle and a*."""
+    keys = ["branch_id", "lateral_side"]
+    plan = shared(planned(points, nodes))
+    typed = nodes.withColumns({k: F.col(k).cast("int") for k in keys}).join(plan.where("status = 'ok'").select(*keys), keys, "left_semi")
+    way = shared(chosen(typed).select(*keys, "seq", "candidate_index"))
+    on_way = shared(typed.join(way, way.columns))
+    scale = frame.select("scale").scalar()
+    rows = plan.join(metrics(on_way, keys).drop("nodes"), keys, "left").join(axis_steps(on_way, keys), keys, "left").join(co_optimal(typed).drop("cost"), keys, "left")
+    name = F.when(F.col("lateral_side") > 0, "+q").otherwise("-q")
+    return rows.select(*keys, name.alias("side_name"), "status", "points", "missing", F.col("cost").alias("length_norm"), (F.col("cost") * scale).alias("length_source"), "max_segment", "max_turn", "mean_turn", "max_axis_step", "mean_axis_step", F.coalesce("ways", F.lit(0)).alias("ways"))
+
+
 def metrics(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """Length, longest segment and angle steps of ordered nodes (seq, x, y, z, angle)."""
     w = Window.partitionBy(*keys).orderBy("seq")

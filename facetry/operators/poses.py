@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import add, cross, dot, named, scale, sub, unit, vec
@@ -21,6 +21,43 @@ def frames(curve: DataFrame, normals: DataFrame) -> DataFrame:
     return rows.select(*keep, *named(vec("f"), "t"), *named(cross(vec("n"), vec("f")), "q"), *named(vec("n"), "a"))
 
 
+def frames_with_spares(curve: DataFrame, normals: DataFrame) -> DataFrame:
+    """As `frames`, for curves some of whose tangents are along the normal (or vanish): such a point takes the laid
+    tangent of the last point before it that has one, else the next point's tangent, else the one before, else a fixed
+    direction; a tangent that points against the raw one is turned. curve has branch_id and seq. A normal of no length is
+    an error. In a row of such points all look back to the last sound one."""
+    rows = curve.join(normals, "point_index")
+    sound = F.raise_error(F.lit("a surface normal has no length"))
+    n = tuple(F.coalesce(c, sound.cast("double")) for c in unit(vec("n")))
+    rows = rows.withColumns({f"n{a}": c for a, c in zip("xyz", n, strict=True)})
+    rows = rows.withColumns({f"r{a}": c for a, c in zip("xyz", unit(vec("t")), strict=True)})
+    w = Window.partitionBy("branch_id").orderBy("seq")
+
+    def laid(v) -> Column:
+        flat = sub(v, scale(vec("n"), dot(v, vec("n"))))
+        return F.when(dot(flat, flat) > 1e-16, F.struct(*named(unit(flat))))
+
+    rows = rows.withColumn("own", laid(vec("r")))
+    back = F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    near = {n: tuple(f(f"r{a}").over(w) for a in "xyz") for n, f in (("after", F.lead), ("before", F.lag))}
+    rows = rows.withColumn("back", back).withColumns({f"{n}_{a}": c for n, v in near.items() for a, c in zip("xyz", v, strict=True)})
+    fixed = cross(vec("n"), tuple(F.when(F.abs("nx") < 0.9, x).otherwise(y) for x, y in zip((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), strict=True)))
+    ladder = F.coalesce("own", laid(vec("back.")), laid(vec("after_")), laid(vec("before_")), F.struct(*named(unit(fixed))))
+    rows = rows.withColumn("f", ladder)
+    turn = F.when(dot(vec("f."), vec("t")) < -1e-12, -1.0).otherwise(1.0)
+    rows = rows.withColumns({f"f{a}": c for a, c in zip("xyz", scale(vec("f."), turn), strict=True)})
+    keep = [c for c in curve.columns if c not in ("tx", "ty", "tz")]
+    return rows.select(*keep, *named(vec("f"), "t"), *named(cross(vec("n"), vec("f")), "q"), *named(vec("n"), "a"))
+
+
+def at_angles(framed: DataFrame, wanted: DataFrame, radius: float) -> DataFrame:
+    """Poses at given angles: wanted has point_index, candidate_index, angle (radians)."""
+    rows = framed.join(wanted, "point_index").withColumn("rho", F.lit(radius))
+    e = add(scale(vec("t"), F.cos("angle")), scale(vec("q"), F.sin("angle")))
+    keep = [c for c in framed.columns if c not in ("x", "y", "z")]
+    return rows.select(*keep, "candidate_index", "angle", "rho", *named(add(vec(), scale(e, F.col("rho")))), *named(e, "e"))
+
+
 def candidates(framed: DataFrame, radius: float, angles: int, depth: float = 0.0, layers: int = 1) -> DataFrame:
     """Centres x + rho (cos t + sin q) for evenly spaced angles and layers of rho from radius - depth to radius."""
     if radius <= 0 or not 0 <= depth < radius or angles < 4 or layers < 1:
@@ -70,6 +107,41 @@ def clearances(poses: DataFrame, samples: DataFrame, clearance: float = 0.0) ->
     return out.withColumn("reason", F.when(F.col("feasible"), "safe").otherwise("wheel_outer_collision"))
 
 
+def sampled_cylinders(poses: DataFrame, samples: DataFrame, width: float, clearance: float = 0.0, k: int = 12) -> DataFrame:
+    """poses with feasible, reason, clearance (signed), nearest_distance, region, the sample that decides (w*) and its
+    place on the tool (v*): a finite cylinder against the k surface samples (sample_id, x, y, z, n*) nearest to its centre.
+    A centre behind most of the nearest samples (at most 128) is inside the work piece. The top k are kept by a bounded
+    rank before the samples are weighed."""
+    if clearance < 0 or width <= 0 or k < 1:
+        raise ValueError("clearance >= 0, width > 0 and k >= 1 are needed")
+    keys, half = ["point_index", "candidate_index"], width / 2
+    right = samples.select("sample_id", *[F.col(a).alias(f"q{a}") for a in "xyz"], "nx", "ny", "nz")
+    near = nearest(poses.select(F.struct(*keys).alias("key"), "x", "y", "z"), right, "key", ["sample_id"], k)
+    rows = near.select("key.*", "rank", "distance", *[F.col(f"q{a}") for a in "xyz"], "nx", "ny", "nz").join(poses.select(*keys, "rho", "x", "y", "z", *[f"{p}{a}" for p in "eta" for a in "xyz"]), keys)
+    # the tool's tangent at the contact, across e and the axis
+    delta = sub(vec("q"), vec())
+    rows = rows.withColumns({f"s{a}": c for a, c in zip("xyz", cross(vec("a"), vec("e")), strict=True)})
+    rows = rows.withColumns({"_r": dot(delta, vec("e")), "_t": dot(delta, vec("s")), "_a": dot(delta, vec("a")), "_out": -dot(delta, vec("n"))})
+    rows = rows.withColumn("_far", F.sqrt(F.col("_r") * F.col("_r") + F.col("_t") * F.col("_t"))).withColumn("_high", F.abs("_a"))
+    over = [F.greatest(F.col("_far") - F.col("rho"), F.lit(0.0)), F.greatest(F.col("_high") - half, F.lit(0.0))]
+    within_tool = (F.col("_far") <= F.col("rho")) & (F.col("_high") <= half)
+    signed = F.when(within_tool, -F.least(F.col("rho") - F.col("_far"), half - F.col("_high"))).otherwise(F.sqrt(over[0] * over[0] + over[1] * over[1]))
+    inside = F.median(F.when(F.col("rank") <= 128, F.col("_out"))).over(Window.partitionBy(*keys)) < -1e-9
+    rows = rows.withColumn("_inside", inside).withColumn("_signed", F.when(F.col("_inside"), F.least(signed, -F.greatest("distance", F.lit(1e-12)))).otherwise(signed))
+    deciding = F.min_by(F.struct("*"), F.struct("_signed", "rank")).alias("d")
+    got = rows.groupBy(*keys).agg(deciding).select(*keys, *[F.col(f"d.{c}").alias(c) for c in rows.columns if c not in keys])
+    region = F.when(F.col("_inside"), "workpiece_interior_collision").when(within_tool, F.when(half - F.col("_high") <= F.col("rho") - F.col("_far"), "wheel_side_collision").otherwise("wheel_outer_collision"))
+    region = region.when(F.col("_far") <= F.col("rho"), "wheel_side_collision").when(F.col("_high") <= half, "wheel_outer_collision").otherwise("wheel_corner_collision")
+    some = F.col("_far") > 1e-12
+    share = F.when(some, F.least("_far", "rho") / F.when(some, F.col("_far"))).otherwise(0.0)
+    lift = F.greatest(F.lit(-half), F.least(F.lit(half), F.col("_a")))
+    tool = add(vec(), add(add(scale(vec("e"), share * F.col("_r")), scale(vec("s"), share * F.col("_t"))), scale(vec("a"), lift)))
+    got = got.select(*keys, region.alias("region"), F.col("_signed").alias("clearance"), (F.col("_signed") + F.col("rho")).alias("nearest_distance"), *[F.col(f"q{a}").alias(f"w{a}") for a in "xyz"], *named(tool, "v"))
+    out = poses.join(got, keys, "left").withColumn("feasible", F.coalesce(F.col("clearance") >= clearance, F.lit(True)))
+    reason = F.when(~F.col("feasible"), F.col("region")).when(F.col("clearance") <= clearance + 1e-12, "target_contact_only").otherwise("safe")
+    return out.withColumn("reason", reason)
+
+
 def point_rollup(judged: DataFrame) -> DataFrame:
     """Candidates, feasible candidates and distinct feasible angles of every point."""
     return judged.groupBy("point_index", "branch_id").agg(

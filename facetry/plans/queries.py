@@ -268,7 +268,7 @@ def pose_checks(spark, d):
 def _scan_sql(radii: tuple[float, ...]) -> str:
     hit = "EXISTS (SELECT 1 FROM sm s WHERE sqrt(({0} + r * ex - s.x) ** 2 + ({1} + r * ey - s.y) ** 2 + ({2} + r * ez - s.z) ** 2) < r)".format("cx.x", "cx.y", "cx.z")
     return f"""{_CANDIDATES}{_SAMPLES}
-, rr AS (SELECT unnest([{", ".join(f"{r}e0" for r in radii)}]) AS r), cx AS (SELECT point_index, c1.x, c1.y, c1.z, ex, ey, ez, r FROM c1, rr WHERE angle_index % 3 = 0),
+, rr AS (SELECT unnest([{", ".join(f"{r}e0" for r in radii)}]) AS r), cx AS (SELECT point_index, c1.x, c1.y, c1.z, ex, ey, ez, r FROM c1, rr),
 ok AS (SELECT r, point_index, NOT {hit} AS ok FROM cx), pt AS (SELECT r, point_index, count(*) AS n, count(*) FILTER (ok) AS k FROM ok GROUP BY ALL),
 sc AS (SELECT r AS radius, avg(CASE WHEN k > 0 THEN 1e0 ELSE 0e0 END) AS coverage, sum(k) / sum(n) AS ratio FROM pt GROUP BY r)"""
 
@@ -278,12 +278,12 @@ _RADII = (0.02, 0.05, 0.1)
 
 @_query(f"{_scan_sql(_RADII)} SELECT round(radius, 6) AS radius, round(coverage, 6) AS coverage, round(ratio, 6) AS ratio FROM sc")
 def radius_scan(spark, d):
-    return _round(poses.radius_scan(_framed(spark, d), meshes.surface_samples(views.triangles(spark, d)), list(_RADII), 8))
+    return _round(poses.radius_scan(_framed(spark, d), meshes.surface_samples(views.triangles(spark, d)), list(_RADII), ANGLES))
 
 
 @_query(f"{_scan_sql(_RADII)} SELECT coalesce(max(radius) FILTER (coverage >= 0.9 AND ratio >= 0.5), (SELECT radius FROM sc ORDER BY coverage DESC, ratio DESC, radius LIMIT 1)) AS radius FROM sc")
 def radius_choice(spark, d):
-    return poses.radius_choice(poses.radius_scan(_framed(spark, d), meshes.surface_samples(views.triangles(spark, d)), list(_RADII), 8), 0.9, 0.5)
+    return poses.radius_choice(poses.radius_scan(_framed(spark, d), meshes.surface_samples(views.triangles(spark, d)), list(_RADII), ANGLES), 0.9, 0.5)
 
 
 SCAN_ANGLES = 72
@@ -329,9 +329,9 @@ def representative_point(spark, d):
     return poses.representative(_judged(spark, d))
 
 
-def _sided(spark: SparkSession, d: str) -> DataFrame:
+def _sided(spark: SparkSession, d: str, radius: float = RADIUS) -> DataFrame:
     signed = paths.side_signs(_framed(spark, d))
-    return paths.sides(poses.candidates(signed, RADIUS, ANGLES))
+    return paths.sides(poses.candidates(signed, radius, ANGLES))
 
 
 _SIDED = f"""{_CANDIDATES}
@@ -346,27 +346,6 @@ def lateral_side(spark, d):
     return _sided(spark, d).select("point_index", "candidate_index", "sign", "lateral_side")
 
 
-@_query(f"""{_SIDED}
-, nd AS (SELECT branch_id, lateral_side, seq, angle_index, cx, cy, cz FROM sd WHERE lateral_side <> 0 AND angle_index % 3 = 1),
-pw AS (SELECT branch_id, lateral_side, seq, angle_index, cx, cy, cz, CAST(0 AS DOUBLE) AS cost FROM nd WHERE seq = 1
-  UNION ALL SELECT n.branch_id, n.lateral_side, n.seq, n.angle_index, n.cx, n.cy, n.cz, min(p.cost + sqrt((n.cx - p.cx) * (n.cx - p.cx) + (n.cy - p.cy) * (n.cy - p.cy) + (n.cz - p.cz) * (n.cz - p.cz)))
-  FROM pw p JOIN nd n ON n.branch_id = p.branch_id AND n.lateral_side = p.lateral_side AND n.seq = p.seq + 1 GROUP BY ALL),
-top AS (SELECT branch_id, lateral_side, max(seq) AS layers FROM nd GROUP BY ALL)
-SELECT pw.branch_id, pw.lateral_side, layers, round(min(cost), 6) AS cost FROM pw JOIN top ON pw.branch_id = top.branch_id AND pw.lateral_side = top.lateral_side AND pw.seq = layers GROUP BY ALL""")
-def layered_path(spark, d):
-    nodes = _sided(spark, d).where("lateral_side <> 0 AND candidate_index % 3 = 1")
-    return _round(paths.layered(nodes).drop("way"))
-
-
-@_query(f"""{_CANDIDATES}
-, nd AS (SELECT branch_id, seq, cx, cy, cz, (seq * 7 % {ANGLES}) * (2 * pi() / {ANGLES}) AS angle FROM cd WHERE angle_index = seq * 7 % {ANGLES}),
-sg AS (SELECT *, sqrt((cx - lag(cx) OVER w) ** 2 + (cy - lag(cy) OVER w) ** 2 + (cz - lag(cz) OVER w) ** 2) AS seg, abs(degrees(angle - lag(angle) OVER w)) AS t FROM nd WINDOW w AS (PARTITION BY branch_id ORDER BY seq))
-SELECT branch_id, count(*) AS nodes, round(coalesce(sum(seg), 0), 6) AS length, round(max(seg), 6) AS max_segment, round(max(least(t, 360 - t)), 6) AS max_turn, round(avg(least(t, 360 - t)), 6) AS mean_turn FROM sg GROUP BY branch_id""")
-def path_metrics(spark, d):
-    nodes = poses.candidates(_framed(spark, d), RADIUS, ANGLES).where(F.col("angle_index") == F.col("seq") * 7 % ANGLES)
-    return _round(paths.metrics(nodes, ["branch_id"]))
-
-
 _FEASIBLE = f"""{_JUDGED}{_SIDED.removeprefix(_CANDIDATES)}
 , fz AS (SELECT sd.*, jd.feasible FROM sd JOIN jd USING (point_index, angle_index)),
 fn AS (SELECT branch_id, lateral_side, seq, angle_index, angle, cx, cy, cz, dense_rank() OVER (PARTITION BY branch_id, lateral_side ORDER BY seq) AS layer FROM fz WHERE feasible AND lateral_side <> 0),
@@ -378,9 +357,22 @@ ft AS (SELECT branch_id, lateral_side, max(layer) AS layers FROM fn GROUP BY ALL
 fb AS (SELECT fp.branch_id, fp.lateral_side, layers, min(cost) AS cost, arg_min(way, cost) AS way FROM fp JOIN ft ON fp.branch_id = ft.branch_id AND fp.lateral_side = ft.lateral_side AND fp.layer = layers GROUP BY ALL)"""
 
 
-def _feasible_sided(spark: SparkSession, d: str) -> DataFrame:
-    judged = poses.envelope(_sided(spark, d), meshes.surface_samples(views.triangles(spark, d)), RADIUS)
-    return judged.where("feasible AND lateral_side <> 0").select("branch_id", "lateral_side", "seq", "candidate_index", "angle", "x", "y", "z")
+_SIDES = _FEASIBLE.replace("WHERE feasible AND lateral_side <> 0", "WHERE lateral_side <> 0").replace(f"{_JUDGED}{_SIDED.removeprefix(_CANDIDATES)}", _SIDED).replace("SELECT sd.*, jd.feasible FROM sd JOIN jd USING (point_index, angle_index)", "SELECT * FROM sd")
+
+
+def _side_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return _sided(spark, d).where("lateral_side <> 0").select("branch_id", "lateral_side", "seq", "candidate_index", "angle", "x", "y", "z")
+
+
+@_query(f"{_SIDES} SELECT branch_id, lateral_side, layers, round(cost, 6) AS cost FROM fb")
+def layered_path(spark, d):
+    """The shortest way through all poses of a side, feasible or not."""
+    return _round(paths.layered(_side_nodes(spark, d)).drop("way"))
+
+
+def _feasible_sided(spark: SparkSession, d: str, radius: float = RADIUS) -> DataFrame:
+    judged = poses.envelope(_sided(spark, d, radius), meshes.surface_samples(views.triangles(spark, d)), radius)
+    return judged.where("feasible AND lateral_side <> 0").select("branch_id", "lateral_side", "seq", "point_index", "candidate_index", "angle", "x", "y", "z", *[f"{k}{a}" for k in "aqe" for a in "xyz"])
 
 
 @_query(f"{_FEASIBLE} SELECT branch_id, lateral_side, layers, round(cost, 6) AS cost FROM fb")
@@ -389,17 +381,29 @@ def feasible_path(spark, d):
     return _round(paths.chosen(_feasible_sided(spark, d)).select("branch_id", "lateral_side", "layers", "cost").distinct())
 
 
-@_query(f"""{_FEASIBLE}
+_MEASURED = """
 , nd AS (SELECT fn.* FROM fn JOIN fb ON fn.branch_id = fb.branch_id AND fn.lateral_side = fb.lateral_side AND fn.angle_index = fb.way[fn.layer]),
 sg AS (SELECT *, sqrt((cx - lag(cx) OVER w) ** 2 + (cy - lag(cy) OVER w) ** 2 + (cz - lag(cz) OVER w) ** 2) AS seg, abs(degrees(angle - lag(angle) OVER w)) AS t FROM nd WINDOW w AS (PARTITION BY branch_id, lateral_side ORDER BY seq))
-SELECT branch_id, lateral_side, count(*) AS nodes, round(coalesce(sum(seg), 0), 6) AS length, round(max(seg), 6) AS max_segment, round(max(least(t, 360 - t)), 6) AS max_turn, round(avg(least(t, 360 - t)), 6) AS mean_turn FROM sg GROUP BY ALL""")
-def feasible_path_metrics(spark, d):
-    """Metrics of the way that `feasible_path` chooses."""
-    nodes = _feasible_sided(spark, d)
+SELECT branch_id, lateral_side, count(*) AS nodes, round(coalesce(sum(seg), 0), 6) AS length, round(max(seg), 6) AS max_segment, round(max(least(t, 360 - t)), 6) AS max_turn, round(avg(least(t, 360 - t)), 6) AS mean_turn FROM sg GROUP BY ALL"""
+
+
+def _measured(nodes: DataFrame) -> DataFrame:
     way = paths.chosen(nodes).select("branch_id", "lateral_side", "seq", "candidate_index")
     return _round(paths.metrics(nodes.join(way, way.columns), ["branch_id", "lateral_side"]))
 
 
+@_query(_FEASIBLE + _MEASURED)
+def feasible_path_metrics(spark, d):
+    """Metrics of the way that `feasible_path` chooses."""
+    return _measured(_feasible_sided(spark, d))
+
+
+@_query(_SIDES + _MEASURED)
+def path_metrics(spark, d):
+    """Metrics of the way that `layered_path` chooses."""
+    return _measured(_side_nodes(spark, d))
+
+
 @_query(f"""{_ARC}
 , ms AS (SELECT branch_id, seq, arc_length AS s, point_index % 7 = 3 AS missing, lead(arc_length) OVER w AS after, lag(arc_length) OVER w AS before FROM arc WINDOW w AS (PARTITION BY branch_id ORDER BY seq)),
 en AS (SELECT branch_id, max(s) AS total FROM ms GROUP BY ALL)

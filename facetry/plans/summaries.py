@@ -9,8 +9,8 @@ from ..functions.vec import named, rounded, vec
 from ..operators import collision, paths, poses, reports
 from . import views
 from .checks import _CHECKED, DEGREES, DEPTH, _dot, _poses, _sql_segment
-from .queries import _CANDIDATES, _JUDGED, ANGLES, RADIUS, WIDTH, _feasible_sided, _framed, _judged, _query, _round, _xyz
-from .routes import _LAYERS
+from .queries import _CANDIDATES, _JUDGED, ANGLES, RADIUS, WIDTH, _framed, _judged, _query, _round, _xyz
+from .routes import _LAYERS, _nodes
 
 _SLOW = "sqrt(least(" + ", ".join(_sql_segment(*e) for e in ("ab", "bc", "ca")) + "))"
 
@@ -56,7 +56,7 @@ def case_summary(spark, d):
 SELECT b.branch_id, max(st.lateral_side) AS lateral_side, CASE WHEN max(st.lateral_side) IS NULL THEN 'no side has a way' ELSE 'ok' END AS note
 FROM (SELECT DISTINCT CAST(branch_id AS INTEGER) AS branch_id FROM g_points) b LEFT JOIN st USING (branch_id) GROUP BY b.branch_id""")
 def preferred_side(spark, d):
-    return reports.preferred_side(paths.planned(views.points(spark, d), _feasible_sided(spark, d)))
+    return reports.preferred_side(paths.planned(views.points(spark, d), _nodes(spark, d)))
 
 
 @_query(" SELECT point_index, branch_id FROM (SELECT point_index, branch_id, row_number() OVER (PARTITION BY branch_id ORDER BY md5('7:' || point_index), point_index) AS n FROM g_points) WHERE n <= 5")
