@@ -57,38 +57,25 @@ class Ids:
         """Ids of many chunks by one call; they are told apart by the words' last tokens."""
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
-        words = np.cumsum([len(WORDS.findall(c)) for c in new])
+        words = np.cumsum([1 if c.isalpha() else len(WORDS.findall(c)) for c in new])
         if not len(ends) or len(ends) != words[-1] or ends[-1] != len(ids):
             return {c: self.whole(c) for c in new}
-        at = [0, *ends[words - 1].tolist()]
-        return {c: ids[at[i] : at[i + 1]].tobytes() for i, c in enumerate(new)}
+        at, data = [0, *(4 * ends[words - 1]).tolist()], ids.tobytes()
+        return {c: data[a:b] for c, a, b in zip(new, at, at[1:], strict=False)}
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        known, plain, new = self.known, [], {}
-        for t in texts:
-            plain.append(None if OTHER.search(t) else t.lower().split())
-            if plain[-1]:
-                new.update(dict.fromkeys(c for c in plain[-1] if c not in known))
+        known, plain = self.known, [None if OTHER.search(t) else t.lower().split() for t in texts]
+        new = set().union(*filter(None, plain)).difference(known)
         found = {c: self.whole(c) for c in new if "<|" in c}
         if rest := [c for c in new if c not in found]:
             found |= self.chunks(rest)
-        if len(known) + len(found) <= REMEMBERED:
-            known |= found
-            found = known
-        else:
-            found = _Both(known, found)
-        return [self.whole(t) if p is None else b"".join([found[c] for c in p]) for t, p in zip(texts, plain, strict=True)]
-
-
-class _Both(dict):
-    """The remembered chunks and those of one batch."""
-
-    def __init__(self, known: dict[str, bytes], new: dict[str, bytes]):
-        super().__init__(new)
-        self.known = known
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.known[chunk]
+        full = len(known) + len(found) > REMEMBERED
+        known |= found
+        out = [self.whole(t) if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, plain, strict=True)]
+        if full:  # this batch's chunks are not remembered
+            for c in found:
+                del known[c]
+        return out
 
 
 @functools.cache
