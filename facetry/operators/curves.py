@@ -98,10 +98,10 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         near = both.join(now, both["b"] == now["vertex_id"]).groupBy("a").agg(F.min("component").alias("least"))
         low = now.join(near, now["vertex_id"] == near["a"], "left").select("vertex_id", "component", F.least("component", F.coalesce("least", "component")).alias("low"))
         # the least label around any vertex of a label moves the whole label
-        moved = low.groupBy("component").agg(F.min("low").alias("to"))
+        moved = _written(low.groupBy("component").agg(F.min("low").alias("to")))
         for _ in range(3):
             onward = moved.select(F.col("component").alias("to"), F.col("to").alias("then"))
-            moved = _written(moved.join(onward, "to").select("component", F.col("then").alias("to")))
+            moved = moved.join(onward, "to").select("component", F.col("then").alias("to"))
         after = _written(low.join(moved, "component").select("vertex_id", F.col("to").alias("component"), (F.col("to") < F.col("component")).alias("fell")))
         if not after.where("fell").limit(1).count():
             return after.select("vertex_id", "component")

@@ -51,21 +51,26 @@ def distinct_axes(axes: DataFrame, degrees: float = 1.0) -> DataFrame:
     return listed.select("point_index", F.inline(kept))
 
 
-def other_axes(curve: DataFrame, judged: DataFrame, axes: DataFrame, angles: int, radius: float, judge: Judge) -> DataFrame:
-    """point_index, axis_index, axis a*, feasible (poses): for points all of whose judged poses fail, the first of their
-    other axes with the most feasible poses; points that no axis helps, and points with a feasible pose, have no row.
-    curve has point_index, x, y, z, t*; only points in need are judged again."""
-    need = _written(judged.groupBy("point_index").agg(F.bool_or("feasible").alias("any")).where("NOT any").select("point_index"))
-    tries = distinct_axes(axes.join(need, "point_index")).join(curve.select("point_index", "x", "y", "z", "tx", "ty", "tz"), "point_index")
+def rings(curve: DataFrame, axes: DataFrame, angles: int, radius: float) -> DataFrame:
+    """Poses around every axis of every point: axes has point_index, axis_index and unit a*; candidate_index counts on over
+    the axes. Where a tangent is along the axis, a fixed direction stands for it."""
+    tries = axes.join(curve.select("point_index", "x", "y", "z", "tx", "ty", "tz"), "point_index")
     flat = unit(sub(vec("t"), scale(vec("a"), dot(vec("t"), vec("a")))))
     spare = unit(cross(vec("a"), tuple(F.when(F.abs("ax") < 0.9, x).otherwise(y) for x, y in zip((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), strict=True))))
     tries = tries.withColumns({f"f{a}": F.coalesce(c, s) for a, c, s in zip("xyz", flat, spare, strict=True)})
     tries = tries.withColumns({f"q{a}": c for a, c in zip("xyz", cross(vec("a"), vec("f")), strict=True)})
     framed = tries.select("point_index", "axis_index", "x", "y", "z", *named(vec("f"), "t"), "qx", "qy", "qz", "ax", "ay", "az")
-    ring = F.explode(F.sequence(F.lit(0), F.lit(angles - 1)))
-    poses = framed.select("*", ring.alias("angle_index")).withColumn("angle", F.col("angle_index") * (TURN / angles))
+    poses = framed.select("*", F.explode(F.sequence(F.lit(0), F.lit(angles - 1))).alias("angle_index")).withColumn("angle", F.col("angle_index") * (TURN / angles))
     e = add(scale(vec("t"), F.cos("angle")), scale(vec("q"), F.sin("angle")))
-    made = poses.select("point_index", "axis_index", (F.col("axis_index") * angles + F.col("angle_index")).cast("long").alias("candidate_index"), F.lit(radius).alias("rho"), *[F.col(a).alias(f"p{a}") for a in "xyz"], *named(add(vec(), scale(e, radius))), *named(e, "e"), "tx", "ty", "tz", "qx", "qy", "qz", "ax", "ay", "az")
+    return poses.select("point_index", "axis_index", (F.col("axis_index") * angles + F.col("angle_index")).cast("long").alias("candidate_index"), F.lit(radius).alias("rho"), *[F.col(a).alias(f"p{a}") for a in "xyz"], *named(add(vec(), scale(e, radius))), *named(e, "e"), "tx", "ty", "tz", "qx", "qy", "qz", "ax", "ay", "az")
+
+
+def other_axes(curve: DataFrame, judged: DataFrame, axes: DataFrame, angles: int, radius: float, judge: Judge) -> DataFrame:
+    """point_index, axis_index, axis a*, feasible (poses): for points all of whose judged poses fail, the first of their
+    other axes with the most feasible poses; points that no axis helps, and points with a feasible pose, have no row.
+    curve has point_index, x, y, z, t*; only points in need are judged again."""
+    need = _written(judged.groupBy("point_index").agg(F.bool_or("feasible").alias("any")).where("NOT any").select("point_index"))
+    made = rings(curve, distinct_axes(axes.join(need, "point_index")), angles, radius)
     counts = judge(made).groupBy("point_index", "axis_index", "ax", "ay", "az").agg(F.count_if("feasible").alias("feasible")).where("feasible > 0")
     place = F.row_number().over(Window.partitionBy("point_index").orderBy(F.desc("feasible"), "axis_index"))
     return counts.withColumn("_place", place).where("_place = 1").select("point_index", "axis_index", "ax", "ay", "az", "feasible")
