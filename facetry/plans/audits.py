@@ -56,11 +56,11 @@ _TAGS = ("infeasible", "branch7", "low_support", "low_confidence")
 
 @_query(f"""{_JUDGED}, ft AS (SELECT point_index, count(*) FILTER (NOT feasible) AS bad FROM jd GROUP BY ALL),
 kg AS (SELECT point_index, 'infeasible' AS tag FROM ft WHERE bad = {ANGLES} UNION ALL SELECT point_index, 'branch7' FROM g_points WHERE branch_id = 7 UNION ALL SELECT point_index, 'low_support' FROM ft WHERE bad = 0 UNION ALL SELECT point_index, 'low_confidence' FROM ft WHERE bad = {ANGLES // 2}),
-t1 AS (SELECT min(point_index) AS p FROM kg WHERE tag = 'infeasible'),
-t2 AS (SELECT min(point_index) AS p FROM kg, t1 WHERE tag = 'branch7' AND point_index IS DISTINCT FROM t1.p),
-t3 AS (SELECT min(point_index) AS p FROM kg, t1, t2 WHERE tag = 'low_support' AND point_index IS DISTINCT FROM t1.p AND point_index IS DISTINCT FROM t2.p),
-t4 AS (SELECT min(point_index) AS p FROM kg, t1, t2, t3 WHERE tag = 'low_confidence' AND point_index IS DISTINCT FROM t1.p AND point_index IS DISTINCT FROM t2.p AND point_index IS DISTINCT FROM t3.p),
-tk AS (SELECT p FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3 UNION ALL SELECT * FROM t4) WHERE p IS NOT NULL),
+pick1 AS (SELECT min(point_index) AS p FROM kg WHERE tag = 'infeasible'),
+pick2 AS (SELECT min(point_index) AS p FROM kg, pick1 WHERE tag = 'branch7' AND point_index IS DISTINCT FROM pick1.p),
+pick3 AS (SELECT min(point_index) AS p FROM kg, pick1, pick2 WHERE tag = 'low_support' AND point_index IS DISTINCT FROM pick1.p AND point_index IS DISTINCT FROM pick2.p),
+pick4 AS (SELECT min(point_index) AS p FROM kg, pick1, pick2, pick3 WHERE tag = 'low_confidence' AND point_index IS DISTINCT FROM pick1.p AND point_index IS DISTINCT FROM pick2.p AND point_index IS DISTINCT FROM pick3.p),
+tk AS (SELECT p FROM (SELECT * FROM pick1 UNION ALL SELECT * FROM pick2 UNION ALL SELECT * FROM pick3 UNION ALL SELECT * FROM pick4) WHERE p IS NOT NULL),
 al AS (SELECT point_index, array_to_string(list_sort(list(DISTINCT tag)), ',') AS tags FROM kg GROUP BY ALL),
 re AS (SELECT *, row_number() OVER (ORDER BY point_index) - 1 AS rank, count(*) OVER () AS n, 10 - (SELECT count(*) FROM tk) AS more FROM al WHERE point_index NOT IN (SELECT p FROM tk))
 SELECT point_index, tags FROM al WHERE point_index IN (SELECT p FROM tk)
