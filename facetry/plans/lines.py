@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import add, named, rounded, unit, vec
-from ..operators import bisectors, collision, continuity, curves, meshes, poses, refine
+from ..operators import bisectors, collision, continuity, curves, meshes, normals, patches, poses, refine
 from . import views
 from .checks import _dot, _poses
 from .queries import _CANDIDATES, _JUDGED, _SAMPLES, ANGLES, RADIUS, WIDTH, _framed, _judged, _query, _round, _tangents, _xyz
-from .surfaces import _MEMBERS, _mesh, roof_points, roof_vertices
+from .surfaces import _MEMBERS, CONFIG, _mesh, roof_faces, roof_points, roof_vertices
 
 ROUNDS = 6
 
@@ -104,6 +104,37 @@ def mesh_center(spark: SparkSession, d: str) -> tuple[float, float, float]:
     return tuple(roof_vertices(spark, d).agg(*[F.avg(a) for a in "xyz"]).first())
 
 
+PATCH = patches.Patch(radius=0.12)
+
+
+@_query(f"""{_MEMBERS}
+, rn AS (SELECT face_id, {_xyz("k% / sqrt(kx * kx + ky * ky + kz * kz) AS r%")} FROM (SELECT face_id, (by - ay) * (cz - az) - (bz - az) * (cy - ay) AS kx, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) AS ky, (bx - ax) * (cy - ay) - (by - ay) * (cx - ax) AS kz FROM gt)),
+k32 AS (SELECT point_index, face_id FROM kn WHERE n <= {PATCH.faces}),
+e32 AS (SELECT ex.point_index, ex.face_id, distance, area, {_xyz("r%")}, row_number() OVER (PARTITION BY ex.point_index ORDER BY round(distance, 9), ex.face_id) AS rank FROM ex JOIN k32 ON k32.point_index = ex.point_index AND k32.face_id = ex.face_id JOIN rn ON rn.face_id = ex.face_id),
+a32 AS (SELECT *, distance <= least(greatest(min(distance) OVER w * {PATCH.factor}e0, {PATCH.floor}), {PATCH.radius}e0) AS near, distance <= {PATCH.radius}e0 AS inside FROM e32 WINDOW w AS (PARTITION BY point_index)),
+b32 AS (SELECT *, count(*) FILTER (near) OVER w AS n, count(*) FILTER (inside) OVER w AS m FROM a32 WINDOW w AS (PARTITION BY point_index)),
+c32 AS MATERIALIZED (SELECT * FROM b32 WHERE rank = 1 OR CASE WHEN n >= {PATCH.least} THEN near WHEN m >= {PATCH.least} THEN rank <= {PATCH.least} ELSE inside END),
+s32 AS (SELECT point_index, {_xyz("sum(area * r%) AS s%")} FROM c32 GROUP BY ALL),
+t32 AS MATERIALIZED (SELECT c32.*, CASE WHEN rx * sx + ry * sy + rz * sz >= 0 THEN 1 ELSE -1 END AS sign FROM c32 JOIN s32 USING (point_index)),
+m32 AS (SELECT point_index, {_xyz(f"sum(area / greatest(distance, {PATCH.floor}) * sign * r%) AS m%")}, abs(avg(sign)) AS sign_consistency, count(*) AS faces, max(distance) AS patch_radius FROM t32 GROUP BY ALL),
+u32 AS (SELECT *, {_xyz("m% / sqrt(mx * mx + my * my + mz * mz) AS n%")} FROM m32),
+w32 AS (SELECT point_index, max(degrees(acos(greatest(-1, least(1, sign * (rx * nx + ry * ny + rz * nz)))))) AS coherence FROM t32 JOIN u32 USING (point_index) GROUP BY ALL)
+SELECT point_index, {_xyz("round(n%, 6) + 0.0 AS n%")}, round(coherence, 4) AS coherence, round(sign_consistency, 6) AS sign_consistency, faces, round(patch_radius, 6) AS patch_radius, faces < {PATCH.least} OR patch_radius > {PATCH.radius}e0 + 1e-12 AS low_support FROM u32 JOIN w32 USING (point_index)""")
+def patch_normals(spark, d):
+    """Mean directions of the faces next to each point, of a mesh with mixed windings."""
+    triangles = normals.gathered(roof_faces(spark, d), roof_vertices(spark, d))
+    out = patches.patch_normals(roof_points(spark, d), triangles, PATCH)
+    return out.select("point_index", *[rounded(F.col(f"n{a}")).alias(f"n{a}") for a in "xyz"], rounded(F.col("coherence"), 4).alias("coherence"), rounded(F.col("sign_consistency")).alias("sign_consistency"), "faces", rounded(F.col("patch_radius")).alias("patch_radius"), "low_support")
+
+
+@_query(None)
+def continuous_normals(spark, d):
+    """Patch normals of the roof's columns with their jumps mended: the whole method; its parts have SQL and loops."""
+    i = F.col("point_index")
+    curve = _roof_curve(spark, d).withColumns({"branch_id": (i % 16).cast("int"), "seq": F.floor(i / 16)})
+    return _round(patches.surface_normals(curve, roof_faces(spark, d), roof_vertices(spark, d), "surface_patch_continuity", patch=PATCH, config=CONFIG))
+
+
 @_query(f"""
 , g0 AS (SELECT point_index, branch_id, seq, {_xyz("% / sqrt(x * x + y * y + z * z) AS u%")} FROM g_points),
 g1 AS (SELECT g0.*, {_xyz("n%")}, {_xyz("CASE WHEN mod(point_index, 9) = 4 THEN n% ELSE u% END AS r%")} FROM g0 JOIN g_normals USING (point_index)),

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from facetry.operators import bisectors, normals
+from facetry.operators import bisectors, normals, patches
 
 CONFIG = normals.Config(radius=0.25)
 
@@ -224,3 +224,30 @@ def test_two_side_bisectors(spark):
         bisectors.two_side_bisectors(curve, tris, config)
     with pytest.raises(ValueError):
         bisectors.Sides(degrees=90.0)
+
+
+def test_methods_of_surface_normals(spark):
+    """Every kind of method on a plane; windings differ, jumps are mended, unknown names refused."""
+    vertices, faces = _grid(6, lambda x, y: (x, y, 0.0))
+    f, v = _mesh(spark, vertices, [t if i % 3 else (t[0], t[2], t[1]) for i, t in enumerate(faces)])
+    places = [(0.2 + 0.1 * k, 0.5, 0.0) for k in range(5)]
+    curve = _points(spark, places).withColumns({"branch_id": F.lit(0), "seq": F.col("point_index"), "tx": F.lit(1.0), "ty": F.lit(0.0), "tz": F.lit(0.0)})
+    flash = spark.createDataFrame([(0, 0.5, 0.5, 1.0)], "point_id long, qx double, qy double, qz double")
+    for method in ("zhong2021", "surface_patch_continuity", "two_face_angle_bisector"):
+        got = patches.surface_normals(curve, f, v, method, flash=flash, config=CONFIG, patch=patches.Patch(radius=0.3), sides=bisectors.Sides(faces=24)).collect()
+        assert len(got) == 5 and all(abs(abs(r.nz) - 1) < 1e-9 for r in got)
+        if method == "two_face_angle_bisector":
+            assert all(r.nz > 0 for r in got)
+    with pytest.raises(ValueError, match="unknown method"):
+        patches.surface_normals(curve, f, v, "none")
+
+
+def test_adaptive_patch(spark):
+    """Distances 0.01, 0.02 and so on: three times the nearest, filled up to the least number, within the radius."""
+    near = spark.createDataFrame([(0, k, 0.01 * k) for k in range(1, 9)] + [(1, k, 0.5 + k) for k in range(1, 9)], "point_index long, rank long, distance double")
+    kept = lambda **c: {p: sorted(r["rank"] for r in patches.adaptive(near, patches.Patch(**c)).collect() if r.point_index == p) for p in (0, 1)}
+    assert kept(least=2, radius=0.1) == {0: [1, 2, 3], 1: [1]}
+    assert kept(least=5, radius=0.1) == {0: [1, 2, 3, 4, 5], 1: [1]}
+    assert kept(least=5, radius=0.04) == {0: [1, 2, 3, 4], 1: [1]}
+    low = {r.point_index: r.low_support for r in patches.adaptive(near, patches.Patch(least=5, radius=0.1)).collect()}
+    assert low == {0: False, 1: True}
