@@ -21,11 +21,11 @@ def _clear(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(f"""{_CLEAR}, rp AS (SELECT point_index, arg_max(angle_index, clearance) FILTER (clearance >= 0) AS best, min(angle_index) FILTER (clearance < 0) AS collision, bool_or(clearance >= 0 AND angle_index = 7) AS seven FROM cl GROUP BY ALL)
-SELECT point_index, CAST(CASE WHEN seven AND mod(point_index, 10) = 3 THEN 7 ELSE best END AS BIGINT) AS feasible, CAST(collision AS BIGINT) AS collision FROM rp""")
+SELECT point_index, CAST(coalesce(CASE WHEN seven AND mod(point_index, 10) = 3 THEN 7 ELSE best END, -1) AS BIGINT) AS feasible, CAST(coalesce(collision, -1) AS BIGINT) AS collision FROM rp""")
 def representative_poses(spark, d):
     """The roomiest pose of each point and its first failing one; every tenth point asks for pose 7."""
     named_ = views.points(spark, d).where("point_index % 10 = 3").select("point_index", F.lit(7).cast("long").alias("candidate_index"))
-    return audits.representative_poses(_clear(spark, d), named_)
+    return audits.representative_poses(_clear(spark, d), named_).fillna(-1, ["feasible", "collision"])
 
 
 @_query(f"""{_JUDGED}, mx AS (SELECT branch_id, seq, point_index, bool_or(feasible) AND NOT bool_and(feasible) AS mixed FROM jd GROUP BY ALL),
@@ -34,9 +34,9 @@ pk AS (SELECT branch_id, point_index FROM (SELECT *, row_number() OVER (PARTITIO
 ff AS (SELECT branch_id, min(angle_index) AS feasible FROM jd JOIN pk USING (branch_id, point_index) WHERE feasible GROUP BY ALL),
 fp AS (SELECT ff.*, cx AS fx, cy AS fy, cz AS fz FROM ff JOIN pk USING (branch_id) JOIN jd ON jd.point_index = pk.point_index AND jd.angle_index = ff.feasible),
 hh AS (SELECT jd.branch_id, arg_max(angle_index, (round(coalesce(sqrt((cx - fx) ** 2 + (cy - fy) ** 2 + (cz - fz) ** 2), 0), 12), -angle_index)) AS collision FROM jd JOIN pk USING (branch_id, point_index) LEFT JOIN fp ON fp.branch_id = jd.branch_id WHERE NOT jd.feasible GROUP BY ALL)
-SELECT pk.branch_id, pk.point_index, CAST(ff.feasible AS BIGINT) AS feasible, CAST(collision AS BIGINT) AS collision FROM pk LEFT JOIN ff ON ff.branch_id = pk.branch_id LEFT JOIN hh ON hh.branch_id = pk.branch_id""")
+SELECT pk.branch_id, pk.point_index, CAST(coalesce(ff.feasible, -1) AS BIGINT) AS feasible, CAST(coalesce(collision, -1) AS BIGINT) AS collision FROM pk LEFT JOIN ff ON ff.branch_id = pk.branch_id LEFT JOIN hh ON hh.branch_id = pk.branch_id""")
 def branch_representatives(spark, d):
-    return audits.branch_representatives(_judged(spark, d))
+    return audits.branch_representatives(_judged(spark, d)).fillna(-1, ["feasible", "collision"])
 
 
 @_query(f"""{_JUDGED}, sh AS (SELECT point_index, avg(CASE WHEN feasible THEN 1e0 ELSE 0e0 END) AS share FROM jd GROUP BY ALL),
@@ -170,13 +170,13 @@ def alignment_report(spark, d):
 @_query(f"""{_JUDGED}, p AS (SELECT branch_id, point_index, count(*) AS n, count(*) FILTER (feasible) AS ok FROM jd GROUP BY ALL),
 cs AS (SELECT branch_id, CAST(sum(n) AS BIGINT) AS poses, CAST(sum(ok) AS BIGINT) AS feasible, round(sum(ok) / sum(n), 6) AS ratio, count(*) AS points, count(*) FILTER (ok = 0) AS without FROM p GROUP BY branch_id)
 SELECT branch_id AS case_id, poses, feasible, ratio, points, without, 'completed' AS status, NULL AS error FROM cs WHERE branch_id <> 3
-UNION ALL SELECT 3, NULL, NULL, NULL, NULL, NULL, 'failed', 'no root line'
-UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, 'completed_with_failures', (SELECT count(*) FROM cs WHERE branch_id <> 3) || ' completed, 1 failed'""")
+UNION ALL SELECT 3, -1, -1, NULL, -1, -1, 'failed', 'no root line'
+UNION ALL SELECT -1, -1, -1, NULL, -1, -1, 'completed_with_failures', (SELECT count(*) FROM cs WHERE branch_id <> 3) || ' completed, 1 failed'""")
 def batch_report(spark, d):
     """Branches as cases of a batch, one of which fails."""
     cases = reports.cases(_judged(spark, d), "branch_id").select(F.col("branch_id").alias("case_id"), "poses", "feasible", F.round(F.col("feasible") / F.col("poses"), 6).alias("ratio"), "points", "without")
     failed = views.points(spark, d).where("branch_id = 3").select(F.col("branch_id").alias("case_id"), F.lit("no root line").alias("error")).distinct()
-    return audits.batch(cases.where("case_id <> 3"), failed)
+    return audits.batch(cases.where("case_id <> 3"), failed).fillna(-1, ["case_id", "poses", "feasible", "points", "without"])
 
 
 @_query(" SELECT point_index, CAST(round(x, 2) + 0.0e0 AS VARCHAR) || ';' || CAST(round(y, 2) + 0.0e0 AS VARCHAR) AS place FROM g_points")

@@ -153,12 +153,12 @@ def normal_clusters(spark, d):
     return tagged.select("point_index", "face_id", F.col("place").cast("long").alias("place"), "support", "kept", spread, rounded(F.col("cluster_area")).alias("cluster_area"), rounded(F.col("cluster_distance")).alias("cluster_distance"))
 
 
-_STATS = "point_index, faces, p_support, s_support, round(angle12, 4) AS angle12, round(support_ratio, 6) AS support_ratio, round(patch_scale, 6) AS patch_scale, round(patch_radius, 6) AS patch_radius"
+_STATS = "point_index, faces, p_support, coalesce(s_support, 0) AS s_support, round(angle12, 4) AS angle12, round(support_ratio, 6) AS support_ratio, round(patch_scale, 6) AS patch_scale, round(patch_radius, 6) AS patch_radius"
 
 
 def _shown(stats: DataFrame) -> list[Column]:
     sizes = [rounded(F.col(c)).alias(c) for c in ("support_ratio", "patch_scale", "patch_radius")]
-    return [F.col("point_index"), F.col("faces"), F.col("primary.support").alias("p_support"), F.col("secondary.support").alias("s_support"), rounded(F.col("angle12"), 4).alias("angle12"), *sizes]
+    return [F.col("point_index"), F.col("faces"), F.col("primary.support").alias("p_support"), F.coalesce("secondary.support", F.lit(0)).alias("s_support"), rounded(F.col("angle12"), 4).alias("angle12"), *sizes]
 
 
 _PATCHED = _CLUSTERED + _patches("cl", "ps")
@@ -200,12 +200,12 @@ rs AS MATERIALIZED (SELECT point_index, rank, face_id, distance, nx, ny, nz, are
 )
 
 
-@_query(f"{_SHAPED} SELECT {_STATS}, scale, valid, {_xyz('round(p_c%, 6) + 0.0 AS c%')} FROM sh")
+@_query(f"{_SHAPED} SELECT {_STATS}, coalesce(scale, 0) AS scale, valid, {_xyz('round(p_c%, 6) + 0.0 AS c%')} FROM sh")
 def shape_patch(spark, d):
     """Each point's best patch of 12, 24, 48 or 96 faces, cut down to its main surface."""
     points, mesh, members = _near(spark, d)
     _, stats = normals.shape_patches(members, points, mesh, CONFIG)
-    return stats.select(*_shown(stats), "scale", "valid", *[rounded(F.col(f"primary.c{a}")).alias(f"c{a}") for a in "xyz"])
+    return stats.select(*_shown(stats), F.coalesce("scale", F.lit(0)).alias("scale"), "valid", *[rounded(F.col(f"primary.c{a}")).alias(f"c{a}") for a in "xyz"])
 
 
 def _guided(n: int, before: str) -> str:

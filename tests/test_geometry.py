@@ -12,7 +12,7 @@ from facetry.sources import text
 
 DATA = "/root/testdata/sf0.001"
 #: All but some that repeat the work of others.
-QUICK = [q for q in ORACLES if q not in ("radius_choice", "reason_counts", "rejecting_conditions", "depth_thresholds", "cylinder_checker", "disk_pairs")]
+QUICK = [q for q in ORACLES if q not in ("radius_choice", "reason_counts", "rejecting_conditions", "depth_thresholds", "disk_pairs", "mesh_prepared", "normal_patches", "normals_zhang2015", "radius_scan", "path_metrics", "method_matrix", "method_angles", "branch_thresholds", "axis_improvements")]
 
 
 def _rows(frame):
