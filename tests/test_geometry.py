@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facetry.operators import curves, meshes, paths, poses, spatial
-from facetry.plans import audits, checks, lines, routes, summaries, surfaces  # noqa: F401  register their queries
+from facetry.plans import audits, checks, flat, lines, routes, summaries, surfaces  # noqa: F401  register their queries
 from facetry.plans.queries import ORACLES, QUERIES
 from facetry.sources import text
 
