@@ -30,6 +30,13 @@ def branch_votes(scored: DataFrame, threshold: float = 0.08) -> DataFrame:
     return votes.withColumn("sign", F.when(F.col("score") >= 0, 1).otherwise(-1))
 
 
+def voted_axes(axes: DataFrame, votes: DataFrame) -> DataFrame:
+    """axes (branch_id, n* and more) turned by their branch's vote; branches without a vote stay as they are."""
+    both = axes.join(votes.select("branch_id", "sign"), "branch_id", "left")
+    sign = F.coalesce("sign", F.lit(1))
+    return both.select(*[c for c in axes.columns if c not in ("nx", "ny", "nz")], *named(scale(vec("n"), sign), "n"))
+
+
 def robust_directions(members: DataFrame, means: DataFrame, key: str, factor: float = 2.5, least: float = 5.0) -> DataFrame:
     """key, n, widest: the mean direction of members (key, n*) with biweights that fall to zero at `factor` median
     angles (at least `least` degrees) from the group's mean (key, m*), and the widest angle. Partial aggregates only."""

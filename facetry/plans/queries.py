@@ -493,13 +493,27 @@ def side_directions(spark, d):
     return _round(_sides(spark, d))
 
 
-@_query(f"""{_SIDES}
+_VOTES = f"""{_SIDES}
 , sc AS (SELECT branch_id, nx * dx + ny * dy + nz * dz AS s FROM dr JOIN g_normals USING (point_index) JOIN g_points USING (point_index)),
-vt AS (SELECT branch_id, coalesce(median(s) FILTER (abs(s) >= 0.08e0), median(s)) AS score FROM sc GROUP BY branch_id)
-SELECT branch_id, round(score, 6) AS score, CASE WHEN score >= 0 THEN 1 ELSE -1 END AS sign FROM vt""")
-def branch_votes(spark, d):
+vt0 AS (SELECT branch_id, coalesce(median(s) FILTER (abs(s) >= 0.08e0), median(s)) AS score FROM sc GROUP BY branch_id),
+vt AS (SELECT branch_id, score, CASE WHEN score >= 0 THEN 1 ELSE -1 END AS sign FROM vt0)"""
+
+
+def _votes(spark: SparkSession, d: str) -> DataFrame:
     both = _sides(spark, d).join(views.normals(spark, d), "point_index").select("point_index", dot(vec("n"), vec("d")).alias("score"))
-    return _round(orientation.branch_votes(both.join(views.points(spark, d).select("point_index", "branch_id"), "point_index")))
+    return orientation.branch_votes(both.join(views.points(spark, d).select("point_index", "branch_id"), "point_index"))
+
+
+@_query(f"{_VOTES} SELECT branch_id, round(score, 6) AS score, sign FROM vt")
+def branch_votes(spark, d):
+    return _round(_votes(spark, d))
+
+
+@_query(f"{_VOTES} SELECT point_index, {_xyz('round(sign * n%, 6) + 0.0 AS n%')} FROM g_points JOIN g_normals USING (point_index) JOIN vt USING (branch_id)")
+def voted_axes(spark, d):
+    """Normals turned by the vote of their branch."""
+    axes = views.normals(spark, d).join(views.points(spark, d).select("point_index", "branch_id"), "point_index")
+    return _round(orientation.voted_axes(axes, _votes(spark, d)).select("point_index", "nx", "ny", "nz"))
 
 
 @_query(f"""
