@@ -164,8 +164,12 @@ def radius_scan(framed: DataFrame, samples: DataFrame, radii: list[float], angle
     return points.groupBy("radius").agg(F.avg((F.col("ok") > 0).cast("double")).alias("coverage"), (F.sum("ok") / F.sum("n")).alias("ratio"))
 
 
-def radius_choice(scan: DataFrame, least_coverage: float, least_ratio: float) -> DataFrame:
-    """The largest radius that reaches both thresholds, else the best by coverage, ratio and smallness."""
+def radius_choice(scan: DataFrame, least_coverage: float, least_ratio: float, override: float | None = None) -> DataFrame:
+    """One row: the largest radius that reaches both thresholds, else the best by coverage, ratio and smallness; or the one
+    that is given, whatever its rates. An override that was not scanned is an error."""
+    if override is not None:
+        missing = F.raise_error(F.lit(f"radius {override} was not scanned")).cast("double")
+        return scan.agg(F.coalesce(F.max(F.when(F.col("radius") == override, F.col("radius"))), missing).alias("radius"))
     good = (F.col("coverage") >= least_coverage) & (F.col("ratio") >= least_ratio)
     best = F.max_by("radius", F.struct(F.col("coverage"), F.col("ratio"), -F.col("radius")))
     return scan.agg(F.coalesce(F.max(F.when(good, F.col("radius"))), best).alias("radius"))
@@ -199,6 +203,14 @@ def representative(judged: DataFrame) -> DataFrame:
     return share.groupBy("branch_id").agg(F.min_by("point_index", F.struct(F.abs(F.col("share") - 0.5), F.col("point_index"))).alias("point_index"))
 
 
+def explanation_point(judged: DataFrame, partial: bool = False) -> DataFrame:
+    """One row: the point of all whose feasible share is nearest to one half, the first of equals; with `partial` only points
+    that have poses of both kinds."""
+    share = judged.groupBy("point_index").agg(F.avg(F.col("feasible").cast("double")).alias("share"))
+    share = share.where("share > 0 AND share < 1") if partial else share
+    return share.agg(F.min_by("point_index", F.struct(F.abs(F.col("share") - 0.5), F.col("point_index"))).alias("point_index"))
+
+
 def coordinate_median(cloud: DataFrame, keys: list[str]) -> DataFrame:
     """Component-wise median of a cloud."""
     return cloud.groupBy(*keys).agg(*[F.median(a).alias(a) for a in "xyz"])

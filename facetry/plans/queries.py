@@ -329,6 +329,12 @@ def representative_point(spark, d):
     return poses.representative(_judged(spark, d))
 
 
+@_query(f"{_JUDGED}, sh AS (SELECT point_index, avg(CASE WHEN feasible THEN 1e0 ELSE 0e0 END) AS s FROM jd GROUP BY ALL) SELECT point_index FROM sh ORDER BY abs(s - 0.5e0), point_index LIMIT 1")
+def explanation_point(spark, d):
+    """The one point that explains most: nearest to half feasible."""
+    return poses.explanation_point(_judged(spark, d))
+
+
 def _sided(spark: SparkSession, d: str, radius: float = RADIUS) -> DataFrame:
     signed = paths.side_signs(_framed(spark, d))
     return paths.sides(poses.candidates(signed, radius, ANGLES))

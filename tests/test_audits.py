@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from facetry.operators import audits, meshes, paths
+from facetry.operators import audits, meshes, paths, poses
 
 
 def test_ranks_and_demo_points(spark):
@@ -55,3 +55,13 @@ def test_records_in_both_frames(spark):
     assert (r.source_x, r.source_y, r.source_z) == (3.0, 0.0, 3.0) and abs(r.angle_deg - 180) < 1e-9 and abs(r.lateral_projection - 0.8) < 1e-12
     steps = paths.axis_steps(node.unionByName(node.selectExpr("branch_id", "lateral_side", "seq + 1 AS seq", "point_index", "candidate_index", "angle", "x", "y", "z", "az AS ax", "ay", "ax AS az", "qx", "qy", "qz", "ex", "ey", "ez")), ["branch_id"]).first()
     assert abs(steps.max_axis_step - 90) < 1e-9
+
+
+def test_radius_override_and_explanation(spark):
+    scan = spark.createDataFrame([(0.1, 1.0, 0.9), (0.2, 0.95, 0.6), (0.4, 0.2, 0.1)], "radius double, coverage double, ratio double")
+    assert poses.radius_choice(scan, 0.9, 0.5).first().radius == 0.2 and poses.radius_choice(scan, 0.9, 0.5, 0.4).first().radius == 0.4
+    with pytest.raises(Exception, match="was not scanned"):
+        poses.radius_choice(scan, 0.9, 0.5, 0.3).collect()
+    judged = spark.createDataFrame([(p, k < n) for p, n in ((1, 0), (2, 3), (3, 1), (4, 4)) for k in range(4)], "point_index long, feasible boolean")
+    assert poses.explanation_point(judged).first().point_index == 2
+    assert poses.explanation_point(judged.where("point_index IN (1, 4)"), partial=True).first().point_index is None
