@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.vec import add, named, rounded, unit, vec
 from ..operators import bisectors, collision, continuity, curves, meshes, normals, patches, poses, refine
 from . import views
-from .checks import _dot, _poses
+from .checks import _DISKS, _dot, _poses
 from .queries import _CANDIDATES, _JUDGED, _SAMPLES, ANGLES, RADIUS, WIDTH, _framed, _judged, _query, _round, _tangents, _xyz
 from .surfaces import _MEMBERS, CONFIG, _mesh, roof_faces, roof_points, roof_vertices
 
@@ -228,9 +228,13 @@ def other_axes(spark, d):
     return _round(refine.other_axes(_tangents(spark, d), _judged(spark, d), axes, ANGLES, RADIUS, _envelope(spark, d)))
 
 
-@_query(None)
+@_query(f"""{_DISKS}{_SAMPLES}
+, eh AS (SELECT DISTINCT point_index, candidate_index FROM dh),
+ev AS (SELECT DISTINCT po.point_index, po.candidate_index FROM po, sm WHERE {_xyz(f"abs(po.x% - sm.%) < {RADIUS}e0", " AND ")} AND sqrt({_xyz("(po.x% - sm.%) ** 2", " + ")}) - {RADIUS}e0 < 0),
+fl AS (SELECT (point_index, candidate_index) NOT IN (SELECT (point_index, candidate_index) FROM eh) AS exact, (point_index, candidate_index) NOT IN (SELECT (point_index, candidate_index) FROM ev) AS baseline FROM po)
+SELECT exact, baseline, CASE WHEN exact THEN 'safe_surface_only_non_closed_mesh' ELSE 'triangle_disk_segment_plane_intersection' END AS reason, count(*) AS n FROM fl GROUP BY ALL""")
 def exact_and_envelope(spark, d):
-    """How often the exact disk check and the spherical envelope agree; both have SQL of their own."""
+    """How often the exact disk check and the spherical envelope agree."""
     made = _poses(spark, d)
     exact = collision.check_disks(made, views.triangles(spark, d), RADIUS, False)
     return refine.compared(exact, poses.envelope(made, meshes.surface_samples(views.triangles(spark, d)), RADIUS))
