@@ -127,6 +127,18 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set(name, rows)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Smaller batches for what is written inside; the session's own size is set again after it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, "10000")
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_or_empty(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 
