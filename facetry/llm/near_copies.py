@@ -1,16 +1,18 @@
 """Near copies: documents whose five-word shingle sets have a Jaccard similarity of 0.8 or more.
 
 Words are those of SimHash (bytes between white space, A-Z lower-cased); a text of one to four words is one shingle.
-Balls around SimHash fingerprints cannot find these pairs, as at similarity 0.8 they differ in seven to nine bits and
-more. So the candidates come from MinHash bands, 40 of six rows: a pair of similarity 0.8 shares none with
-probability (1 - 0.8**6) ** 40 = 5e-6, one of 0.85 with 2e-9, and texts that share a passage only seldom meet. Pairs
-whose signatures (a byte of each of the 240 MinHash values) agree in less than `SIGNED` of the places go first: of
+SimHash comes first: sets of one fingerprint, and those whose fingerprints are within four bits (`simhash.links`), are
+tied where the exact check on the whole sets holds. Fingerprints alone cannot find all pairs, as at similarity 0.8 they
+differ in seven to nine bits and more, so MinHash bands, 40 of six rows, go on from there: a pair of similarity 0.8 shares
+none with probability (1 - 0.8**6) ** 40 = 5e-6, one of 0.85 with 2e-9, and texts that share a passage only seldom meet.
+Pairs whose signatures (a byte of each of the 240 MinHash values) agree in less than `SIGNED` of the places go first: of
 similarity 0.8 that happens with a probability of about 3e-8. Every link is verified on the whole shingle sets.
 
 Only distinct sets take part. In each spot the members are first tried against one of them (the least by a hash
 that changes with the round); sets that are tied already need no further pairs, so clusters of copies cost a star and
 not all pairs. Spots whose members are all tied are done. What meets and is still in different components is then
-compared inside the spots, in blocks, and only links become rows.
+compared inside the spots, in blocks, by signatures and then by sets, each pair in the first spot that it shares, and
+only links become rows.
 
 Defined cases: word-less and null texts have the empty set and are linked with each other only; repeated rows share
 a component; an empty table gives an empty result; other columns are ignored.
@@ -18,23 +20,24 @@ a component; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from .common import BROADCAST_ROWS, batches_of, own_name, row_numbers, staged, text_or_empty
 from .components import components
+from .simhash import links, simhash
 
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 40, 6
 SIGNED = 0.66
 #: Most bytes of signatures or sets that are broadcast to their pairs; beyond it they are shuffled.
 SMALL = 1 << 23
-#: Members of a spot that are compared with each other in one task.
-BLOCK = 64
+#: Bytes of a block of members of a spot, of which a task compares one or two, and of a member without its set.
+BLOCK, MEMBER = 1 << 20, 600
 #: Rounds of stars go on, up to so many, while the pairs left are more than so many and one try in a hundred ties.
 STARS, PAIRS, GAIN = 6, 2_000_000, 0.01
 _RNG = np.random.default_rng(6)
@@ -111,33 +114,76 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
-def _within_spots(at: DataFrame, payload: DataFrame) -> DataFrame:
-    """Links (u, v) between members of a spot that are in different components; payload has node, signature, shingles.
-    Members of a spot are dealt into blocks of about `BLOCK`, and a task compares two blocks (or one) without making a row
-    of each pair: a spot of m members is m rows, times the blocks where it has several."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(at: DataFrame, payload: DataFrame, weight: Column) -> DataFrame:
+    """Members of each spot in groups of one or two blocks of about `BLOCK` bytes (weight: bytes of a member), so that
+    every two members are in one group. Payloads are joined to members, before those are dealt to several groups."""
+    sizes = at.groupBy("spot").agg(F.ceil(F.sum(weight) / BLOCK).cast("int").alias("blocks"))
+    dealt = at.join(sizes, "spot").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    full = dealt.join(payload, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    member = F.struct("node", "root", "size", "block", *[c for c in payload.columns if c != "node"])
+    groups = full.groupBy("spot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return groups.agg(F.collect_list(member).alias("members")).where(F.size("members") > 1).select("spot", "members")
+
+
+def _close(spot: int, m: pa.StructArray) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of members and of those after them that signatures do not rule out: in different components, and of the
+    spots that both share this is the first, so that a pair is looked at once and not in every spot."""
+    root, block = m.field("root").to_numpy(), m.field("block").to_numpy()
+    signed = np.frombuffer(b"".join(m.field("signature").to_pylist()), np.uint8).reshape(len(m), -1)
+    bands = m.field("spots").flatten().to_numpy().reshape(len(m), BANDS)
+    whole = block.min() == block.max()
+    for i in range(len(m) - 1):
+        later = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (whole | (block[i + 1 :] != block[i])))
+        later = later[(signed[later] == signed[i]).sum(axis=1) >= SIGNED * BANDS * ROWS]
+        if len(later):
+            yield i, later[bands[i, (bands[later] == bands[i]).argmax(axis=1)] == spot]
+
+
+def _within_spots(at: DataFrame, nodes: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (u, v) that tie what members of a spot (at: spot, node, root) link between different components. Members are
+    compared by their signatures first; sets (of given nodes) go only to those who then have a partner left."""
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for spot, group in zip(b.column("spot").to_pylist(), b.column("members"), strict=True):
+                m = group.values
+                some = np.zeros(len(m), bool)
+                for i, later in _close(spot, m):
+                    some[later] = True
+                    some[i] |= len(later) > 0
+                met = pa.array(some)
+                left = [m.field(c).filter(met) for c in ("node", "root", "size")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(some.sum(), spot), pa.int64()), *left], ["spot", "node", "root", "size"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for group in b.column("members"):
+            for spot, group in zip(b.column("spot").to_pylist(), b.column("members"), strict=True):
                 m = group.values
-                node, root, block = (m.field(c).to_numpy() for c in ("node", "root", "block"))
-                signed = np.frombuffer(b"".join(m.field("signature").to_pylist()), np.uint8).reshape(len(node), -1)
-                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in m.field("shingles")]
-                whole = block.min() == block.max()
-                for i in range(len(node) - 1):
-                    close = (signed[i + 1 :] == signed[i]).sum(axis=1) >= SIGNED * BANDS * ROWS
-                    close &= (root[i + 1 :] != root[i]) & (whole | (block[i + 1 :] != block[i]))
-                    out += [(min(node[i], node[k]), max(node[i], node[k])) for k in (np.flatnonzero(close) + i + 1).tolist() if alike(sets[i], sets[k])]
+                node, root = (m.field(c).to_numpy() for c in ("node", "root"))
+                shingled = [np.frombuffer(x.as_buffer(), np.uint64) for x in m.field("shingles")]
+                up = {r: r for r in root.tolist()}
+
+                def find(x: int) -> int:
+                    while up[x] != x:  # noqa: B023
+                        up[x] = x = up[up[x]]  # noqa: B023
+                    return x
+
+                for i, later in _close(spot, m):
+                    for k in later.tolist():
+                        one, two = find(int(root[i])), find(int(root[k]))
+                        if one != two and alike(shingled[i], shingled[k]):
+                            up[two] = one
+                            out.append((node[i], node[k]))
             pairs = np.array(out, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["u", "v"])
 
-    sizes = at.groupBy("spot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = at.join(sizes, "spot").select("spot", "node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    dealt = dealt.select("spot", "node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("spot", "node", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    full = dealt.join(payload, "node").groupBy("spot", "low", "high").agg(F.collect_list(F.struct("node", "root", "block", "signature", "shingles")).alias("members"))
-    return full.where(F.size("members") > 1).select("members").mapInArrow(run, "u long, v long").distinct()
+    signed = nodes.select("node", "signature", "spots")
+    sized = at.join(nodes.select("node", "size"), "node")
+    with batches_of(at.sparkSession, 32):
+        few = staged(_blocks(sized, signed, F.lit(MEMBER)).mapInArrow(likely, "spot long, node long, root long, size long").distinct())
+        whole = sets(few.select("node").distinct()).join(signed, "node")
+        return staged(_blocks(few, whole, MEMBER + 8 * F.col("size")).mapInArrow(linked, "u long, v long").distinct())
 
 
 def kept_rows(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,22 +205,39 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [(node(s), *spots(s)) for s in (shingles(t.as_py()) for t in b.column("text"))]
-            columns = [pa.array([m[0] for m in made], pa.int64()), pa.array([m[1].view(np.int64) for m in made], pa.list_(pa.int64())), pa.array([m[2] for m in made], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), *columns], ["row", "doc_id", "node", "spots", "signature"])
+            made = [(node(s), *spots(s), len(s)) for s in (shingles(t.as_py()) for t in b.column("text"))]
+            fps = np.fromiter((simhash(t.as_py()) for t in b.column("text")), np.uint64, b.num_rows).view(np.int64)
+            columns = [pa.array([m[0] for m in made], pa.int64()), pa.array([m[1].view(np.int64) for m in made], pa.list_(pa.int64())), pa.array([m[2] for m in made], pa.binary()), pa.array([m[3] for m in made], pa.int64()), pa.array(fps)]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), *columns], ["row", "doc_id", "node", "spots", "signature", "size", "fp"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(list(map(node, sets)), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
-    rows = staged(texts.mapInArrow(hashed, "row long, doc_id long, node long, spots array<long>, signature binary"))
-    nodes = staged(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row"), F.first("spots").alias("spots"), F.first("signature").alias("signature")))
+    rows = staged(texts.mapInArrow(hashed, "row long, doc_id long, node long, spots array<long>, signature binary, size long, fp long"))
+    nodes = staged(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("spots", "signature", "size")], F.min("fp").alias("fp")))
     emitted = nodes.select("node", F.explode("spots").alias("spot"))
     shared = emitted.groupBy("spot").agg(F.count("*").alias("n")).where("n > 1").select("spot")
     met = staged(emitted.join(shared, "spot"))
 
-    ties, at, gained = None, met.withColumn("root", F.col("node")), True
+    def sets(wanted: DataFrame) -> DataFrame:
+        few = staged(nodes.join(wanted, "node", "left_semi").select("row"))
+        few = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+        return staged(texts.join(few, "row", "left_semi").select("text").mapInArrow(whole, "node long, shingles binary"))
+
+    def checked(tried: DataFrame) -> DataFrame:
+        likely = staged(_signed(tried, nodes))
+        return staged(_verified(likely, sets(likely.select(F.explode(F.array("u", "v")).alias("node")).distinct())))
+
+    # what fingerprints link: sets of one fingerprint with the least of them, and those of fingerprints within four bits
+    heads = staged(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    head = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
+    alone = nodes.join(heads, "fp").where("node <> head").select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v"))
+    tied = links(heads.select("fp")).join(head("u"), "u").join(head("v"), "v").select(F.least("u_head", "v_head").alias("u"), F.greatest("u_head", "v_head").alias("v"))
+    ties = checked(staged(alone.unionByName(tied).distinct()))
+    roots = staged(components(ties))
+    at, gained = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), True
     for turn in range(STARS + 1):
         # spots where more than one component meets, and the pairs between their components
         sizes = at.groupBy("spot", "root").agg(F.count("*").alias("n")).groupBy("spot")
@@ -185,24 +248,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         last = turn > 0 and (left <= PAIRS or not gained) or turn == STARS
         if last:
-            here = staged(at.select("node").distinct())
-            few = staged(nodes.join(here, "node", "left_semi").select("row"))
-            few = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
-            sets = staged(texts.join(few, "row", "left_semi").select("text").mapInArrow(whole, "node long, shingles binary"))
-            with batches_of(docs.sparkSession, 32):  # groups of whole sets
-                found = staged(_within_spots(at.select("spot", "node", "root"), sets.join(nodes.select("node", "signature"), "node")))
-            ties = found if ties is None else ties.unionByName(found)
+            ties = ties.unionByName(_within_spots(at.select("spot", "node", "root"), nodes, sets))
             break
         hub = at.groupBy("spot").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("hub"))
         pairs = at.join(hub, "spot").where("root <> hub.root").select("spot", F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v"))
         tried = staged(pairs.select("u", "v").distinct())
-        likely = staged(_signed(tried, nodes))
-        meeting = likely.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        meeting = staged(nodes.join(meeting, "node", "left_semi").select("row"))
-        few = F.broadcast(meeting) if meeting.count() <= BROADCAST_ROWS else meeting
-        found = staged(_verified(likely, staged(texts.join(few, "row", "left_semi").select("text").mapInArrow(whole, "node long, shingles binary"))))
+        found = checked(tried)
         gained = found.count() >= GAIN * tried.count()
-        ties = found if ties is None else ties.unionByName(found)
+        ties = ties.unionByName(found)
         roots = staged(components(ties))
         # only spots go on of which some pair is still in two components
         side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
@@ -212,10 +265,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         at = staged(at.drop("root", "pairs").join(open_spots, "spot", "left_semi"))
         at = at.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    if ties is None:
-        tied = nodes.select("node", "first_id", F.col("node").alias("root"))
-    else:
-        tied = nodes.join(components(ties), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    tied = nodes.join(components(ties), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     tied = staged(tied)
     found = tied.join(tied.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "root", "component_id")
     return rows.select("row", "doc_id", "node").join(found, "node").select("doc_id", "component_id", *more)
