@@ -1,13 +1,17 @@
 """Two-side bisectors: normals at a line between two surfaces, from the faces on either side of it.
 
 Everything happens inside a point's nearest faces, at most k of them: the pair of faces that lie most opposite across
-the tangent, and the best supported direction of a side, are self joins within these groups."""
+the tangent, and the best supported direction of a side, are found in each group by numpy, over Arrow batches."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +54,48 @@ def faces_around(curve: DataFrame, triangles: DataFrame, config: Sides, flash: D
     return rows.select("point_index", F.col("rank").cast("long").alias("rank"), "face_id", "distance", *[f"{k}{a}" for k in "nom" for a in "xyz"])
 
 
+def _opposite(u: np.ndarray) -> np.ndarray:
+    """The two rows (of unit vectors, in order of rank) with the least product, of equals the first."""
+    dots = u[:, None, 0] * u[:, 0] + u[:, None, 1] * u[:, 1] + u[:, None, 2] * u[:, 2]
+    p, q = divmod(int(dots.argmin()), len(u))
+    return np.concatenate([u[p], u[q]])
+
+
+def _leading(rows: np.ndarray, cosine: float) -> np.ndarray:
+    """Of normals and distances in order of rank the normal that most others agree with, up to the sign, and their number;
+    of equals the one of the lesser median distance, then the first."""
+    n = rows[:, :3]
+    agree = np.abs(n[:, None, 0] * n[:, 0] + n[:, None, 1] * n[:, 1] + n[:, None, 2] * n[:, 2]) >= cosine
+    support = agree.sum(axis=1)
+    most = int(support.max())
+    seeds, order = np.flatnonzero(support == most), rows[:, 3].argsort(kind="stable")
+    if most:  # a normal of no length agrees with none, not even itself
+        near = rows[order, 3][np.nonzero(agree[seeds][:, order])[1].reshape(-1, most)]
+        best = seeds[((near[:, (most - 1) // 2] + near[:, most // 2]) / 2).argmin()]
+        return np.array([most, *n[best]])
+    return np.full(4, np.nan)
+
+
+def _of_group(rows: DataFrame, key: list[str], columns: list[str], of: Callable[[np.ndarray], np.ndarray], names: list[str]) -> DataFrame:
+    """key and names: what `of` makes of the columns of each group, in order of rank; nothing where that is not a number.
+    A group has at most k faces. As a join, its pairs were k * k rows that the aggregates then sorted."""
+    listed = rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("rank", *columns))).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = b.column("m")
+            parts = m.flatten()
+            table = np.stack([parts.field(c).to_numpy(zero_copy_only=False) for c in columns], axis=1)
+            ends = np.cumsum([0, *(len(x) for x in m)])
+            made = np.array([of(table[i:j]) for i, j in zip(ends, ends[1:], strict=False)]).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in key], *[pa.array(x) for x in made.T]], [*key, *names])
+
+    schema = listed.select(*key).schema
+    for name in names:
+        schema = schema.add(name, "double")
+    return listed.mapInArrow(run, schema).where(~F.isnan(names[0]))
+
+
 def split_sides(around: DataFrame, config: Sides) -> DataFrame:
     """around with side (0 or 1) and by (how it was split); a face may be on both sides where directions split them.
 
@@ -57,9 +103,8 @@ def split_sides(around: DataFrame, config: Sides) -> DataFrame:
     lie off the line, or a side has less than two, the nearest face and the nearest one of another direction each gather
     the faces of theirs; without a second direction a point has no sides."""
     off = around.withColumns({f"u{a}": c for a, c in zip("xyz", unit(vec("o")), strict=True)}).where(norm(vec("o")) > config.least_offset)
-    one, two = (off.select("point_index", F.col("rank").alias(f"rank_{k}"), *[F.col(f"u{a}").alias(f"{k}{a}") for a in "xyz"]) for k in "pq")
-    pairs = one.join(two, "point_index").groupBy("point_index").agg(F.min_by(F.struct(*[f"{k}{a}" for k in "pq" for a in "xyz"]), F.struct(dot(vec("p"), vec("q")), "rank_p", "rank_q")).alias("s"))
-    axes = pairs.select("point_index", *named(unit(sub(vec("s.p"), vec("s.q"))), "s")).where("sx IS NOT NULL")
+    pairs = _of_group(off, ["point_index"], ["ux", "uy", "uz"], _opposite, [f"{k}{a}" for k in "pq" for a in "xyz"])
+    axes = pairs.select("point_index", *named(unit(sub(vec("p"), vec("q"))), "s")).where("sx IS NOT NULL")
     placed = off.join(axes, "point_index").withColumn("side", F.when(dot(vec("u"), vec("s")) >= 0, 0).otherwise(1))
     whole = Window.partitionBy("point_index")
     placed = placed.withColumn("n0", F.sum(1 - F.col("side")).over(whole)).withColumn("n1", F.sum("side").over(whole))
@@ -80,10 +125,8 @@ def coherent_sides(split: DataFrame, config: Sides, center: tuple[float, float,
     sign; of equals the one whose faces are nearer) leads, and its nearest faces are averaged by nearness. Where a mesh
     centre is given, directions point away from it; else they are taken as they are turned."""
     cosine, key = math.cos(math.radians(config.degrees)), ["point_index", "side"]
-    one = split.select(*key, F.col("rank").alias("seed"), *[F.col(f"n{a}").alias(f"s{a}") for a in "xyz"])
-    agree = one.join(split, key).where(F.abs(dot(vec("s"), vec("n"))) >= cosine)
-    scores = agree.groupBy(*key, "seed", "sx", "sy", "sz").agg(F.count("*").alias("support"), F.median("distance").alias("middle"))
-    best = scores.groupBy(*key).agg(F.min_by(F.struct("support", "sx", "sy", "sz"), F.struct(-F.col("support"), "middle", "seed")).alias("b")).select(*key, "b.*")
+    best = _of_group(split, key, ["nx", "ny", "nz", "distance"], partial(_leading, cosine=cosine), ["support", "sx", "sy", "sz"])
+    best = best.withColumn("support", F.col("support").cast("long"))
     pool = split.join(best, key).where(F.abs(dot(vec("s"), vec("n"))) >= cosine)
     pool = pool.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("rank"))).where(F.col("place") <= config.take)
     if center is not None:
