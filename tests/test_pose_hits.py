@@ -41,3 +41,15 @@ def test_a_block_need_not_hold_all_triangles(spark, tables):  # noqa: F811
         assert _rows(collision.cylinder_hits(poses, faces, R, W, 6)) == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.usefixtures("cut")
+def test_disk_hits_agree_with_their_pairs(tables):  # noqa: F811
+    poses, faces = tables
+    pairs = collision.disk_contacts(collision.disk_pairs(poses, faces, R)).where("hit")
+    got = collision.disk_hits(poses, faces)
+    assert _rows(got) == _rows(pairs.select(*got.columns)) and got.count() > 20
+
+
+def test_disk_pairs_is_dealt_out_by_blocks(spark):
+    assert _fixed(checks.disk_pairs(spark, DATA))
