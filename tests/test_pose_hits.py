@@ -53,3 +53,11 @@ def test_disk_hits_agree_with_their_pairs(tables):  # noqa: F811
 
 def test_disk_pairs_is_dealt_out_by_blocks(spark):
     assert _fixed(checks.disk_pairs(spark, DATA))
+
+
+@pytest.mark.usefixtures("cut")
+def test_failed_counts_agree_with_the_hits(tables):  # noqa: F811
+    poses, faces = tables
+    met = collision.cylinder_contacts(collision.cylinder_pairs(poses.drop("rho"), faces, R, W), R, W)
+    want = collision.failed_conditions(met, 0.02, 0.2, 60.0).select(F.explode("failed").alias("failed")).groupBy("failed").agg(F.count("*").alias("n"))
+    assert _rows(collision.failed_counts(poses, faces, R, W, 0.02, 0.2, 60.0)) == _rows(want) and want.count() == 4
