@@ -1,8 +1,10 @@
 """Hits stream out of blocks of poses, and what is asked of them by pose or in all is reduced there."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from facetry.functions import wheel
 from facetry.operators import collision
 from facetry.plans import checks
 
@@ -61,3 +63,28 @@ def test_failed_counts_agree_with_the_hits(tables):  # noqa: F811
     met = collision.cylinder_contacts(collision.cylinder_pairs(poses.drop("rho"), faces, R, W), R, W)
     want = collision.failed_conditions(met, 0.02, 0.2, 60.0).select(F.explode("failed").alias("failed")).groupBy("failed").agg(F.count("*").alias("n"))
     assert _rows(collision.failed_counts(poses, faces, R, W, 0.02, 0.2, 60.0)) == _rows(want) and want.count() == 4
+
+
+def test_settled_poses_weigh_only_what_may_pass(spark, monkeypatch):
+    """A pose that is rejected and as deep as can be does not look at faces along its axis again; the verdict is the same."""
+    rng = np.random.default_rng(8)
+    poses = spark.createDataFrame([(0, 0, R, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, -W / 2)], "point_index long, candidate_index long, rho double, " + ", ".join(f"{k}{a} double" for k in ("", "a", "p") for a in "xyz"))
+    upright = [[(x, -0.05, -0.1), (x, 0.05, 0.1), (x, 0.05, -0.1)] for x in rng.uniform(-0.02, 0.02, 1500)]
+    flat = [[(x, 0.0, -W / 2), (x + 0.02, 0.0, -W / 2), (x, 0.02, -W / 2)] for x in (0.1, -0.1)]
+    faces = spark.createDataFrame([(i, *map(float, np.ravel(t))) for i, t in enumerate([*upright, *flat])], "face_id long, " + ", ".join(f"{k}{a} double" for k in "abc" for a in "xyz"))
+    want = collision.cylinder_contacts(collision.cylinder_pairs(poses.drop("rho"), faces, R, W), R, W).where("hit")
+    passing = (F.col("penetration") <= 1e-6) & (F.col("alignment") >= 0.5) & F.coalesce("near_cap", F.lit(True))
+    row = collision.check_cylinders(poses, faces, R, W, False, contact_patch=True, max_penetration=1e-6, normal_degrees=60.0).first()
+    assert (row.contact_faces, row.faces) == (want.where(passing).count(), 1502) and row.contact_faces == 2
+    assert row.penetration == pytest.approx(want.agg(F.max("penetration")).first()[0]) and row.reason == want.where("face_id = 0").first().kind
+    tools, seen = wheel.Tools, []
+    held = tools(*(np.zeros((1, 3)), np.array([[0.0, 0.0, 1.0]]), np.zeros((1, 3))), np.array([np.array(t) for t in upright[:2]]))
+    monkeypatch.setattr(collision, "reduced", lambda *a, **k: seen.append(a[6]) or (_ for _ in ()).throw(StopIteration))
+    with pytest.raises(StopIteration):
+        collision.check_cylinders(poses, faces, R, W, False, contact_patch=True, max_penetration=1e-6, normal_degrees=60.0)
+    see, _, columns = seen[0]({"side": np.array([R])}, {"face_id": np.array([0, 1])}, held)
+    weighed = []
+    monkeypatch.setattr(collision, "Cuts", lambda c, *a: weighed.append(c.shape[2]) or wheel.Cuts(c, *a))
+    for j in (0, 1):
+        see(np.array([0]), np.array([j]))
+    assert weighed == [1, 0] and columns()["penetration"][0] == pytest.approx(W)
