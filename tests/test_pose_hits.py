@@ -88,3 +88,14 @@ def test_settled_poses_weigh_only_what_may_pass(spark, monkeypatch):
     for j in (0, 1):
         see(np.array([0]), np.array([j]))
     assert weighed == [1, 0] and columns()["penetration"][0] == pytest.approx(W)
+
+
+@pytest.mark.usefixtures("cut")
+def test_boxes_are_counted_without_a_row_a_pair(tables):  # noqa: F811
+    poses, faces = tables
+    want = collision.cylinder_pairs(poses.drop("rho"), faces, R, W).groupBy(*collision.KEYS).agg(F.count("*").alias("faces"))
+    assert _rows(collision.pose_boxes(poses, faces, R, W)) == _rows(want) and want.count() > 50
+
+
+def test_cylinder_pairs_is_dealt_out_by_blocks(spark):
+    assert _fixed(checks.cylinder_pairs(spark, DATA))
