@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from facetry.functions import wheel
 from facetry.operators import collision
-from facetry.plans import checks
+from facetry.plans import checks, summaries
 
 from .test_pose_blocks import R, W, _rows, cut, tables  # noqa: F401  fixtures
 
@@ -99,3 +99,18 @@ def test_boxes_are_counted_without_a_row_a_pair(tables):  # noqa: F811
 
 def test_cylinder_pairs_is_dealt_out_by_blocks(spark):
     assert _fixed(checks.cylinder_pairs(spark, DATA))
+
+
+@pytest.mark.usefixtures("cut")
+def test_penetrations_agree_with_the_hits(tables):  # noqa: F811
+    poses, faces = tables
+    met = collision.cylinder_contacts(collision.cylinder_pairs(poses.drop("rho"), faces, R, W), R, W)
+    want = met.groupBy(*collision.KEYS).agg(F.max("penetration").alias("penetration"))
+    assert _rows(_digits(collision.pose_penetrations(poses, faces, R, W))) == _rows(_digits(want))
+
+
+def test_depth_summary_settles_poses(spark, monkeypatch):
+    """It asks for the depth alone, of poses that are settled by the deepest reach."""
+    asked = []
+    monkeypatch.setattr(collision, "pose_penetrations", lambda *a, **k: asked.append(a) or checks._lean(spark, DATA).withColumn("penetration", F.lit(0.1)))
+    assert summaries.depth_summary(spark, DATA).count() and asked
