@@ -189,7 +189,7 @@ def pose_clearance(spark, d):
 
 
 def _disk(spark: SparkSession, d: str):
-    return lambda made: collision.check_disks(poses.offset(made, WIDTH), views.triangles(spark, d), RADIUS, False)
+    return lambda made: collision.check_disks(poses.offset(made, WIDTH), views.triangles(spark, d), RADIUS, False, count=False)
 
 
 @_query(None)
@@ -236,5 +236,5 @@ SELECT exact, baseline, CASE WHEN exact THEN 'safe_surface_only_non_closed_mesh'
 def exact_and_envelope(spark, d):
     """How often the exact disk check and the spherical envelope agree."""
     made = _poses(spark, d)
-    exact = collision.check_disks(made, views.triangles(spark, d), RADIUS, False)
+    exact = collision.check_disks(made, views.triangles(spark, d), RADIUS, False, count=False)
     return refine.compared(exact, poses.envelope(made, meshes.surface_samples(views.triangles(spark, d)), RADIUS))
