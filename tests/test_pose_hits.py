@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facetry.functions import wheel
-from facetry.operators import collision
+from facetry.operators import blocks, collision
 from facetry.plans import checks, summaries
 
 from .test_pose_blocks import R, W, _rows, cut, tables  # noqa: F401  fixtures
@@ -114,3 +114,16 @@ def test_depth_summary_settles_poses(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(collision, "pose_penetrations", lambda *a, **k: asked.append(a) or checks._lean(spark, DATA).withColumn("penetration", F.lit(0.1)))
     assert summaries.depth_summary(spark, DATA).count() and asked
+
+
+@pytest.mark.parametrize("count", [True, False])
+def test_settled_poses_meet_the_rest_of_their_boxes_only_to_count_them(monkeypatch, count):
+    monkeypatch.setattr(blocks, "FIRST", 2)
+    monkeypatch.setattr(blocks, "LATER", 3)
+    zero, one = np.zeros((1, 3)), np.ones((1, 3))
+    corners = np.random.default_rng(1).uniform(-0.5, 0.5, (10, 3, 3))
+    p = {"center": zero, "axis": np.array([[0.0, 0.0, 1.0]]), "target": zero, "lo": -one, "hi": one, "side": np.ones(1)}
+    counts, settled = np.zeros(1, np.int64), np.zeros(1, bool)
+    for i, _ in blocks._pairs(p, blocks._faced(corners, np.arange(10)), 1.0, counts, settled, count):
+        settled[i] = True
+    assert counts[0] == (10 if count else 2)
